@@ -93,7 +93,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
                     after = np.where(c + _ASIDE < len(s), s[np.minimum(c + _ASIDE, len(s) - 1)] >> np.uint64(32), d & 0xFFFFFFFF)
                     ctx.append((before.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64))
             if keys:
-                cols = [np.concatenate(v) for v in (keys, doc, at, ctx)]
+                cols = _met_here([np.concatenate(v) for v in (keys, doc, at, ctx)], width)
                 for i in range(0, len(cols[0]), 50_000):
                     part = [v[i : i + 50_000] for v in cols]
                     yield pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2]), pa.array(part[3].view(np.int64))], names=["key", "doc", "at", "ctx"])
@@ -101,57 +101,79 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
     return docs.select(F.col(id_col).cast("long").alias("_id"), text_col).mapInArrow(run, "key long, doc long, at long, ctx long")
 
 
-def _links(windows: DataFrame, width: int) -> DataFrame:
-    """doc, src, seed (places in both, hash function) of windows that meet: each with one of the lowest document.
+class _Meeting:
+    """Windows of one key, by document: each goes with the first that has the same shingle ten places before or after.
 
-    Windows stream by key and document. A window goes with the first that has the
-    same shingle ten places before or after; only if none has, with the key's
-    first. So a phrase that stands in many passages doesn't hide the repeated ones.
+    Only if none has, it goes with the key's first. So a phrase that stands in
+    many passages doesn't hide the repeated ones. Held are the first window and
+    one of each context.
     """
 
-    def run(batches):
-        state = {"key": None, "rows": []}
-
-        def linked(rows, out):
-            """rows: doc, at, ctx lists of one key."""
-            docs, ats, ctxs = rows
-            if docs[0] == docs[-1]:
-                return
-            seen: dict[int, int] = {}
-            for i, (d, a, x) in enumerate(zip(docs, ats, ctxs, strict=True)):
-                x &= 0xFFFFFFFFFFFFFFFF
-                before, after = x >> 32, (x & 0xFFFFFFFF) | 1 << 32
-                r = min(seen.setdefault(before, i), seen.setdefault(after, i))
-                if r == i:
-                    r = 0
-                if docs[r] != d:
-                    ra = ats[r]
-                    if min(a >> 10 & 1023, ra >> 10 & 1023) + min(a & 1023, ra & 1023) + 1 >= width:
-                        out.append((d, docs[r], (a >> 24) << 32 | (ra >> 24) << 3 | (a >> 20 & 15)))
+    def __init__(self, width: int):
+        self.width, self.seen, self.first = width, {}, None
+
+    def add(self, docs: list[int], ats: list[int], ctxs: list[int], out: list) -> list[int]:
+        """Appends links (doc, src, seed) and returns which windows aren't linked to one with their context."""
+        own, seen, width = [], self.seen, self.width
+        for i, (d, a, x) in enumerate(zip(docs, ats, ctxs, strict=True)):
+            x &= 0xFFFFFFFFFFFFFFFF
+            before, after = x >> 32, (x & 0xFFFFFFFF) | 1 << 32
+            me = (d, a)
+            r = min(seen.setdefault(before, me), seen.setdefault(after, me))
+            fresh = r is me
+            if fresh:
+                own.append(i)
+                r = self.first = self.first or me
+            if r[0] != d:
+                ra = r[1]
+                if min(a >> 10 & 1023, ra >> 10 & 1023) + min(a & 1023, ra & 1023) + 1 >= width:
+                    out.append((d, r[0], (a >> 24) << 32 | (ra >> 24) << 3 | (a >> 20 & 15)))
+                elif not fresh:
+                    own.append(i)
+        return own
+
+
+def _met_here(cols: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Windows that meet within a batch are linked there; a link (at below 0, its source in ctx) goes on in the window's place."""
+    key, doc, at, ctx = (v[np.lexsort((cols[2], cols[1], cols[0]))] for v in cols)
+    bounds = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+    gone, links = np.zeros(len(key), bool), []
+    for i in np.flatnonzero(np.diff(bounds) > 1):
+        a, e = bounds[i], bounds[i + 1]
+        if e - a < 3 and doc[a] == doc[e - 1]:
+            continue
+        own = _Meeting(width).add(doc[a:e].tolist(), at[a:e].tolist(), ctx[a:e].view(np.int64).tolist(), links)
+        gone[a:e] = True
+        gone[a + np.array(own, np.int64)] = False
+    if gone.any():
+        key, doc, at, ctx = (v[~gone] for v in (key, doc, at, ctx))
+    if links:
+        v = np.array(links, np.int64)
+        spread = mix64(v[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v[:, 1].astype(np.uint64))
+        key, doc, at, ctx = np.concatenate((key, spread)), np.concatenate((doc, v[:, 0])), np.concatenate((at, -1 - v[:, 2])), np.concatenate((ctx, v[:, 1].astype(np.uint64)))
+    return [key, doc, at, ctx]
+
+
+def _links(windows: DataFrame, width: int) -> DataFrame:
+    """doc, src, seed (places in both, hash function) of windows that meet, within a batch or here, by key and document."""
 
+    def run(batches):
+        last, group = None, None
         for b in batches:
             k, d, a, x = (b.column(i).to_numpy() for i in range(4))
+            done = a < 0
+            out: list = []
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(d[done]), pa.array(x[done]), pa.array(-1 - a[done])], names=["doc", "src", "seed"])
+                k, d, a, x = (v[~done] for v in (k, d, a, x))
             if not len(k):
                 continue
-            out = []
             bounds = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
-            if state["key"] is not None and k[0] == state["key"]:
-                for held, v in zip(state["rows"], (d, a, x), strict=True):
-                    held.extend(v[: bounds[1]].tolist())
-                bounds = bounds[1:]
-            if len(bounds) > 1:
-                if state["rows"]:
-                    linked(state["rows"], out)
-                for i in np.flatnonzero(np.diff(bounds[:-1]) > 1):
-                    s = slice(bounds[i], bounds[i + 1])
-                    if d[s.start] != d[s.stop - 1]:
-                        linked([v[s].tolist() for v in (d, a, x)], out)
-                state = {"key": k[-1], "rows": [v[bounds[-2] :].tolist() for v in (d, a, x)]}
-            if out:
-                yield _batch(out)
-        if state["rows"]:
-            out = []
-            linked(state["rows"], out)
+            for i in range(len(bounds) - 1) if len(bounds) == 2 else (0, *np.flatnonzero(np.diff(bounds[1:-1]) > 1) + 1, len(bounds) - 2):
+                s = slice(bounds[i], bounds[i + 1])
+                if group is None or k[s.start] != last:
+                    last, group = k[s.start], _Meeting(width)
+                group.add(d[s].tolist(), a[s].tolist(), x[s].tolist(), out)
             if out:
                 yield _batch(out)
 
@@ -222,12 +244,29 @@ def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int,
                 if ends[i] - starts[i] >= width:
                     out.append((int(starts[i]), int(ends[i]), int(starts[i] - shift[starts[i]]), 1.0))
 
-    for c, r, k in sorted(seeds):
-        if cluster and (c - cluster[-1][0] > width or abs((c - r) - (cluster[-1][0] - cluster[-1][1])) > 10):
-            judge(cluster)
-            cluster = []
-        cluster.append((c, r, k))
-    judge(cluster) if cluster else None
+    def judge_all(seeds, need):
+        cluster = []
+        for c, r, k in sorted(seeds):
+            if cluster and (c - cluster[-1][0] > width or abs((c - r) - (cluster[-1][0] - cluster[-1][1])) > 10):
+                judge(cluster, need)
+                cluster = []
+            cluster.append((c, r, k))
+        if cluster:
+            judge(cluster, need)
+
+    judge_all(seeds, need)
+    more = set()
+    if out:
+        free = np.ones(len(x), bool)
+        for s, e, *_ in out:
+            free[s:e] = False
+        places = np.flatnonzero(free[:-2]) if free.any() else []
+        if len(places):
+            for s, e, r, _ in out:
+                for p in range(s, e - 2, max(1, width // 2)):
+                    hit = places[(x[places] == x[p]) & (x[places + 1] == x[p + 1]) & (x[places + 2] == x[p + 2])]
+                    more.update((q, r + p - s, 0) for q in hit.tolist())
+    judge_all(more, 1)
     return sorted(set(out))
 
 
