@@ -207,11 +207,12 @@ def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int,
     a passage's width on nearby diagonals are one cluster, which must have ``need``
     hash functions. Runs of equal tokens on its diagonals, at most ten apart, are
     a passage if its Jaccard similarity suffices; else each run that is wide
-    enough on its own.
+    enough on its own. Where x itself holds a passage more than once, its other
+    places are found by three tokens in a row and judged alike.
     """
-    out, cluster = [], []
+    out = []
 
-    def judge(cluster):
+    def judge(cluster, need):
         if len({k for *_, k in cluster}) < need:
             return
         if all(any(s <= c < e for s, e, *_ in out) for c, _, _ in cluster):
