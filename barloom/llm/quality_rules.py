@@ -113,18 +113,19 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source", min_g
     ok = rows.where(~base_failed())
     fine = _fences(ok, [lang, source], accuracy, reach)
     coarse = _fences(ok, [lang], accuracy, reach)
-    everything = _fences(ok.withColumn("_all", F.lit(1)), ["_all"], accuracy, reach)
+    # of all documents: one row, which goes on as literals
+    whole = _fences(ok, [], accuracy, reach).select("fence.*").first()
+    everything = F.struct(*(F.lit(v).cast("double").alias(k) for k, v in whole.asDict().items()))
     # all fences of the groups first: a small table, one row a group
     groups = measured.groupBy(lang, source).agg(F.count(F.lit(1)).alias("_n"))
-    f, c, e = fine.alias("f"), coarse.alias("c"), everything.alias("e")
+    f, c = fine.alias("f"), coarse.alias("c")
     wide = (
-        groups.alias("g").withColumn("_all", F.lit(1)).alias("g")
+        groups.alias("g")
         .join(f, F.col(f"g.{lang}").eqNullSafe(F.col(f"f.{lang}")) & F.col(f"g.{source}").eqNullSafe(F.col(f"f.{source}")), "left")
         .join(c, F.col(f"g.{lang}").eqNullSafe(F.col(f"c.{lang}")), "left")
-        .join(F.broadcast(e), F.col("g._all") == F.col("e._all"), "left")  # one row
         .select(
             F.col(f"g.{lang}").alias("_lang"), F.col(f"g.{source}").alias("_source"),
-            F.when(F.col("f.n") >= min_group, F.col("f.fence")).when(F.col("c.n") >= min_group, F.col("c.fence")).otherwise(F.col("e.fence")).alias("_fence"),
+            F.when(F.col("f.n") >= min_group, F.col("f.fence")).when(F.col("c.n") >= min_group, F.col("c.fence")).otherwise(everything).alias("_fence"),
         )
     )
     out = rows.join(wide, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
