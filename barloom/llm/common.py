@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -49,6 +51,20 @@ def raw_texts(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batches, rows: int = 512):
+    """The batches in slices, so that few texts are held as Python objects; then unused memory goes back.
+
+    Workers live on between tasks, and what their allocators keep counts against
+    the executor.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, mix64, raw_texts
+from .common import _power_tables, mix64, raw_texts, slices
 
 WINDOW = 5
 NUM, NAME, UNIT = (np.uint64(0x4E554D0000000001), np.uint64(0x4E414D4500000002), np.uint64(0x554E495400000003))
@@ -232,7 +232,7 @@ def _best(index: ItemIndex, text: bytes | None, threshold: float) -> dict[int, t
 
 def _search(index: ItemIndex, threshold: float, id_col: str):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows, got = [], []
             for r, text in enumerate(raw_texts(b.column(1))):
                 best = _best(index, text, threshold)
@@ -251,7 +251,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_i
 
     def keeper(index):
         def run(batches):
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not _best(index, t, threshold) for t in raw_texts(b.column(at))], pa.bool_()))
 
         return run

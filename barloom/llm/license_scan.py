@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import raw_texts, slices
 
 #: Phrases whose consecutive words give a base label.
 PHRASES = (
@@ -56,7 +56,7 @@ def corpus_frequencies(df: DataFrame, vocabulary: frozenset[bytes], text_col: st
 
     def count(batches):
         total: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in raw_texts(b.column(0)):
                 if text:
                     total.update(vocabulary.intersection(set(w := folded(text).split())) and [x for x in w if x in vocabulary])
@@ -159,7 +159,7 @@ def scan(
     schema = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("blocks", block)])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in raw_texts(b.column(1)):
                 low = folded(text or b"")

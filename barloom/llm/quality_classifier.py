@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, word_hashes
+from .common import raw_texts, slices, word_hashes
 
 _BLOCK = 1 << 20
 
@@ -160,7 +160,7 @@ def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col:
     scores = _scorer(model)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)))], names=[id_col, "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -172,7 +172,7 @@ def keep(df: DataFrame, model: QualityModel, threshold: float = 0.7, text_col: s
     scores, at = _scorer(model), df.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(scores(b.column(at)) >= threshold))
 
     return df.mapInArrow(run, df.schema)

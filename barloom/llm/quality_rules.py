@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import raw_texts, slices
 
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
@@ -66,7 +66,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = []
             for text in raw_texts(b.column(1)):
                 text = text or b""

@@ -45,8 +45,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.load(sentencepiece_codec.default_model_path())
-    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model)
-    return sentencepiece_codec.with_round_trip(coded, model)
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model, check=True)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

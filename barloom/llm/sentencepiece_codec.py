@@ -19,19 +19,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import BASE, mix64, powers
+from .common import BASE, mix64, powers, slices
 
 MARK = "▁"
 #: Words of this length or more aren't kept.
 _LONG = 256
-_KEEP = 400_000
+_KEEP = 150_000
+_ROWS = 256
 _POW = powers(BASE, 1 << 10)
 #: A run of marks and what follows it.
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -283,29 +284,31 @@ def encode_words(m: Pieces, words: list[str]) -> dict[str, list[int]]:
     return out
 
 
-def encode_texts(m: Pieces, texts: list[str | None]) -> list[list[int]]:
-    """Ids of whole texts; [] for null and empty ones. Words seen before are looked up."""
+def encode_packed(m: Pieces, texts: list[str | None]) -> list[bytes]:
+    """Ids of whole texts as packed 32-bit integers; none for null and empty ones. Words seen before are looked up."""
     cut = [_WORDS.findall((MARK if m.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
     known = m.known
-    fresh = list({w for words in cut for w in words if w not in known})
-    got = encode_words(m, fresh) if fresh else {}
+    fresh = {w for words in cut for w in words}.difference(known)
+    got = {w: array("i", ids).tobytes() for w, ids in encode_words(m, list(fresh)).items()}
     if len(known) + len(got) > _KEEP:
-        known = m.known = {w: known[w] if w in known else got[w] for words in cut for w in words if len(w) < _LONG}
-    else:
-        known.update((w, k) for w, k in got.items() if len(w) < _LONG)
-    out = []
-    for words in cut:
-        ids: list[int] = []
-        for w in words:
-            ids += known[w] if w in known else got[w]
-        out.append(ids)
+        known = {w: known[w] for words in cut for w in words if w in known}
+    known.update(got)
+    m.known = known
+    out = [b"".join(map(known.__getitem__, words)) for words in cut]
+    for w in got:
+        if len(w) >= _LONG:
+            del known[w]
     return out
 
 
+def encode_texts(m: Pieces, texts: list[str | None]) -> list[list[int]]:
+    return [np.frombuffer(x, np.int32).tolist() for x in encode_packed(m, texts)]
+
+
 def decode_ids(m: Pieces, ids: list[int], table: list[bytes] | None = None) -> str:
     """The text of the ids: pieces and bytes joined, marks to spaces, without the prefix's."""
     table = table or piece_bytes(m)
-    text = b"".join([table[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if m.dummy_prefix and text.startswith(" ") else text
 
 
@@ -316,26 +319,30 @@ def piece_bytes(m: Pieces) -> list[bytes]:
     return [x if m.usable[i] or i in set(m.bytes_at) else (b" \xe2\x81\x87 " if i == m.unk else b"") for i, x in enumerate(out)]
 
 
-def encode(df: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """id, text (on demand), ids, n_tokens of every whole text.
+def encode(df: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """id, n_tokens and ids of every whole text; with ``check`` also whether the decoded ids give the text back.
 
-    A null or empty text has no ids. Repeated rows give repeated results. Only
-    the id and the text are read. Very long texts are cut into words like others;
-    a word is as long as it is.
+    A null or empty text has no ids and comes back as an empty one. A text with
+    U+2581 itself comes back with spaces there, as in the model's own library.
+    Repeated rows give repeated results. Only the id and the text are read. Very
+    long texts are cut into words like others; a word is as long as it is.
     """
+    pieces = piece_bytes(model)
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = encode_texts(model, part.column(1).to_pylist())
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(n.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), *([part.column(1)] if keep_text else []), lists, pa.array(n)], names=[id_col, *([text_col] if keep_text else []), "ids", "n_tokens"])
+        for b in slices(batches, _ROWS):
+            texts = b.column(1).to_pylist()
+            packed = encode_packed(model, texts)
+            n = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            cols, names = [b.column(0), pa.array(n), lists], [id_col, "n_tokens", "ids"]
+            if check:
+                cols.append(pa.array([decode_ids(model, np.frombuffer(x, np.int32).tolist(), pieces) == (t or "") for x, t in zip(packed, texts, strict=True)], pa.bool_()))
+                names.append("round_trip")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + (f"`{text_col}` string, " if keep_text else "") + "ids array<int>, n_tokens long")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>" + (", round_trip boolean" if check else ""))
 
 
 def decode(df: DataFrame, model: Pieces, id_col: str = "doc_id", ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -349,22 +356,3 @@ def decode(df: DataFrame, model: Pieces, id_col: str = "doc_id", ids_col: str =
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{out_col}` string")
-
-
-def with_round_trip(coded: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids and whether the decoded ids give the text back (a null text: as an empty one).
-
-    A text with U+2581 itself comes back with spaces there, as in the model's own
-    library.
-    """
-    pieces = piece_bytes(model)
-
-    def run(batches):
-        for b in batches:
-            flat = b.column(2)
-            texts, ids = b.column(1).to_pylist(), flat.to_pylist()
-            same = [decode_ids(model, k, pieces) == (t or "") for t, k in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), flat, pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids", "round_trip"])
-
-    kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(id_col, text_col, "ids", "n_tokens").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, round_trip boolean")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, raw_texts, word_hashes
+from .common import mix64, raw_texts, slices, word_hashes
 
 SHINGLE = 5
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917)]
@@ -74,7 +74,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
     """key, doc, at (c, hash function, tokens to the left and right up to width), ctx."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 8192):
             ids = b.column(0).to_pylist()
             keys, doc, at, ctx = [], [], [], []
             for d, text in zip(ids, raw_texts(b.column(1)), strict=True):
@@ -189,7 +189,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, name: s
     """16 bits of every shingle's hash, for texts long enough; enough to verify runs of dozens."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, sigs = [], []
             for d, text in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
                 if d is not None and text and len(s := shingle_hashes(text)) >= width:
@@ -292,7 +292,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = [id_col, "first_word", "end_word", "src_doc_id", "src_first_word", "similarity"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for d, src, seeds, x, y in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 places = [(v >> 32, v >> 3 & 0x1FFFFFFF, v & 7) for v in seeds]
@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             spans_of, texts = b.column(len(columns)).to_pylist(), b.column(at)
             hit = [i for i, s in enumerate(spans_of) if s]
             keep = np.ones(b.num_rows, bool)
