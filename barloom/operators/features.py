@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import ahead, back, div, flag, lag, ln, roll
 
-O, H, L, C, V = (F.col(x) for x in ("open", "high", "low", "close", "volume"))  # noqa: E741
-R, LC = F.col("_r"), F.col("_lc")
+def _column(name: str):
+    return lambda: F.col(name)  # made when it is used, as columns need a session
+
+
+O, H, L, C, V = map(_column, ("open", "high", "low", "close", "volume"))  # noqa: E741
+R, LC = _column("_r"), _column("_lc")
 FAMILIES: dict = {}
 
 
@@ -30,9 +34,9 @@ def family(*windows):
 
 def prepared(bars: DataFrame) -> DataFrame:
     """Columns that several families share."""
-    out = bars.withColumn("_lc", ln(C)).withColumn("_r", LC - lag(LC)).withColumn("_lv", ln(V))
-    tr = F.when(lag(C).isNotNull(), F.greatest(H - L, F.abs(H - lag(C)), F.abs(L - lag(C))))
-    return out.withColumns({"_tr": tr, "_tp": (H + L + C) / 3, "_sv": F.signum(C - O) * V, "_dv": C * V, "_down": F.when(R < 0, R).otherwise(0.0), "_rl1": lag(R), "_range": div(H, L) - 1})
+    out = bars.withColumn("_lc", ln(C())).withColumn("_r", LC() - lag(LC())).withColumn("_lv", ln(V()))
+    tr = F.when(lag(C()).isNotNull(), F.greatest(H() - L(), F.abs(H() - lag(C())), F.abs(L() - lag(C()))))
+    return out.withColumns({"_tr": tr, "_tp": (H() + L() + C()) / 3, "_sv": F.signum(C() - O()) * V(), "_dv": C() * V(), "_down": F.when(R() < 0, R()).otherwise(0.0), "_rl1": lag(R()), "_range": div(H(), L()) - 1})
 
 
 def _z(x: Column, n: int) -> Column:
@@ -42,17 +46,17 @@ def _z(x: Column, n: int) -> Column:
 
 @family(1, 2, 3, 5, 7, 11, 15, 27, 41, 77, 137)
 def returns(w):
-    return {"feat_log_close": LC, "feat_ret_simple_1": div(C, lag(C)) - 1} | {f"feat_ret_log_{k}": LC - lag(LC, k) for k in w}
+    return {"feat_log_close": LC(), "feat_ret_simple_1": div(C(), lag(C())) - 1} | {f"feat_ret_log_{k}": LC() - lag(LC(), k) for k in w}
 
 
 @family(1, 2, 3, 5, 10, 20)
 def return_lags(w):
-    return {f"feat_ret_log_1_lag_{k}": lag(R, k) for k in w}
+    return {f"feat_ret_log_1_lag_{k}": lag(R(), k) for k in w}
 
 
 @family(3, 5, 7, 11, 15, 27, 41, 77, 137)
 def rolling_return(w):
-    return {f"feat_roll_ret_{n}_{k}": roll(a, R, k) for k in w for n, a in (("sum", F.sum), ("mean", F.avg))}
+    return {f"feat_roll_ret_{n}_{k}": roll(a, R(), k) for k in w for n, a in (("sum", F.sum), ("mean", F.avg))}
 
 
 @family(5, 7, 11, 15, 27, 41, 77, 137)
@@ -60,40 +64,40 @@ def volatility(w, seconds: int = 3600):
     ann = math.sqrt(365 * 86400 / seconds)
     out = {}
     for k in w:
-        sd = roll(F.stddev_samp, R, k)
-        out |= {f"feat_rv_std_{k}": sd, f"feat_rv_abs_mean_{k}": roll(F.avg, F.abs(R), k), f"feat_rv_quadratic_{k}": F.sqrt(roll(F.sum, R * R, k)), f"feat_rv_std_ann_{k}": sd * ann}
+        sd = roll(F.stddev_samp, R(), k)
+        out |= {f"feat_rv_std_{k}": sd, f"feat_rv_abs_mean_{k}": roll(F.avg, F.abs(R()), k), f"feat_rv_quadratic_{k}": F.sqrt(roll(F.sum, R() * R(), k)), f"feat_rv_std_ann_{k}": sd * ann}
     return out
 
 
 @family(3, 5, 7, 11, 15, 27, 41, 77, 137)
 def sma(w):
-    return {k2: v for k in w for k2, v in ((f"feat_sma_{k}", roll(F.avg, C, k)), (f"feat_close_sma_{k}_ratio", div(C, roll(F.avg, C, k)) - 1))}
+    return {k2: v for k in w for k2, v in ((f"feat_sma_{k}", roll(F.avg, C(), k)), (f"feat_close_sma_{k}_ratio", div(C(), roll(F.avg, C(), k)) - 1))}
 
 
 @family(20, 50, 100)
 def bollinger(w):
     out = {}
     for k in w:
-        m, s = roll(F.avg, C, k), roll(F.stddev_samp, C, k)
+        m, s = roll(F.avg, C(), k), roll(F.stddev_samp, C(), k)
         up, low = m + 2 * s, m - 2 * s
-        out |= {f"feat_bb_z_{k}": div(C - m, s), f"feat_bb_width_{k}": div(up - low, m), f"feat_bb_upper_dist_{k}": div(C, up) - 1, f"feat_bb_lower_dist_{k}": div(C, low) - 1, f"feat_bb_percent_b_{k}": div(C - low, up - low)}
+        out |= {f"feat_bb_z_{k}": div(C() - m, s), f"feat_bb_width_{k}": div(up - low, m), f"feat_bb_upper_dist_{k}": div(C(), up) - 1, f"feat_bb_lower_dist_{k}": div(C(), low) - 1, f"feat_bb_percent_b_{k}": div(C() - low, up - low)}
     return out
 
 
 @family()
 def range_candle(w):
-    rng = F.when(H - L != 0, H - L)
-    return {"feat_high_low_range": div(H, L) - 1, "feat_close_open_ret": div(C, O) - 1, "feat_body_to_range": div(F.abs(C - O), rng), "feat_upper_wick": div(H - F.greatest(O, C), rng), "feat_lower_wick": div(F.least(O, C) - L, rng), "feat_close_position": div(C - L, rng), "feat_body_sign": F.signum(C - O), "feat_body_signed": div(C - O, rng)}
+    rng = F.when(H() - L() != 0, H() - L())
+    return {"feat_high_low_range": div(H(), L()) - 1, "feat_close_open_ret": div(C(), O()) - 1, "feat_body_to_range": div(F.abs(C() - O()), rng), "feat_upper_wick": div(H() - F.greatest(O(), C()), rng), "feat_lower_wick": div(F.least(O(), C()) - L(), rng), "feat_close_position": div(C() - L(), rng), "feat_body_sign": F.signum(C() - O()), "feat_body_signed": div(C() - O(), rng)}
 
 
 @family(5, 10, 20, 50, 100, 200)
 def volume(w):
-    lv, ar = F.col("_lv"), F.abs(R)
-    out = {"feat_log_volume": lv, "feat_log1p_volume": F.log1p(V), "feat_volume_ret_1": lv - lag(lv)}
+    lv, ar = F.col("_lv"), F.abs(R())
+    out = {"feat_log_volume": lv, "feat_log1p_volume": F.log1p(V()), "feat_volume_ret_1": lv - lag(lv)}
     for k in w:
         both = F.when(ar.isNotNull() & lv.isNotNull(), 1)
         corr = F.when(F.count(both).over(back(k)) == k, F.corr(ar, lv).over(back(k)))
-        out |= {f"feat_volume_z_{k}": _z(lv, k), f"feat_volume_ma_ratio_{k}": div(V, roll(F.avg, V, k)) - 1, f"feat_absret_volume_corr_{k}": corr}
+        out |= {f"feat_volume_z_{k}": _z(lv, k), f"feat_volume_ma_ratio_{k}": div(V(), roll(F.avg, V(), k)) - 1, f"feat_absret_volume_corr_{k}": corr}
     return out
 
 
@@ -101,14 +105,14 @@ def volume(w):
 def drawdown_distance(w):
     out = {}
     for k in w:
-        hi, lo = roll(F.max, C, k), roll(F.min, C, k)
-        out |= {f"feat_dist_roll_max_{k}": div(C, hi) - 1, f"feat_dist_roll_min_{k}": div(C, lo) - 1, f"feat_position_roll_range_{k}": div(C - lo, hi - lo)}
+        hi, lo = roll(F.max, C(), k), roll(F.min, C(), k)
+        out |= {f"feat_dist_roll_max_{k}": div(C(), hi) - 1, f"feat_dist_roll_min_{k}": div(C(), lo) - 1, f"feat_position_roll_range_{k}": div(C() - lo, hi - lo)}
     return out
 
 
 @family(10, 20, 50, 100, 200)
 def trend_strength(w):
-    return {f"feat_trend_strength_{k}": div(LC - lag(LC, k), roll(F.stddev_samp, R, k) * math.sqrt(k)) for k in w}
+    return {f"feat_trend_strength_{k}": div(LC() - lag(LC(), k), roll(F.stddev_samp, R(), k) * math.sqrt(k)) for k in w}
 
 
 @family(20, 50, 100)
@@ -117,20 +121,20 @@ def autocorrelation(w, lags=(1, 2, 3, 5)):
     for k in w:
         for j in lags:
             x = F.col(f"_rl{j}")
-            both = F.when(R.isNotNull() & x.isNotNull(), 1)
-            out[f"feat_ret_autocorr_w{k}_lag{j}"] = F.when(F.count(both).over(back(k)) == k, F.corr(R, x).over(back(k)))
+            both = F.when(R().isNotNull() & x.isNotNull(), 1)
+            out[f"feat_ret_autocorr_w{k}_lag{j}"] = F.when(F.count(both).over(back(k)) == k, F.corr(R(), x).over(back(k)))
     return out
 
 
 @family(7, 14, 21, 50)
 def atr(w):
     tr = F.col("_tr")
-    return {"feat_true_range": tr, "feat_true_range_close_ratio": div(tr, C)} | {n: v for k in w for n, v in ((f"feat_atr_{k}", roll(F.avg, tr, k)), (f"feat_atr_{k}_ratio", div(roll(F.avg, tr, k), C)))}
+    return {"feat_true_range": tr, "feat_true_range_close_ratio": div(tr, C())} | {n: v for k in w for n, v in ((f"feat_atr_{k}", roll(F.avg, tr, k)), (f"feat_atr_{k}_ratio", div(roll(F.avg, tr, k), C())))}
 
 
 @family(5, 10, 20, 50, 100)
 def range_volatility(w):
-    hl, co = F.ln(div(H, L)), F.ln(div(C, O))
+    hl, co = F.ln(div(H(), L())), F.ln(div(C(), O()))
     gk = 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co
     return {n: v for k in w for n, v in ((f"feat_parkinson_vol_{k}", F.sqrt(roll(F.avg, hl * hl, k) / (4 * math.log(2)))), (f"feat_garman_klass_vol_{k}", F.sqrt(F.when(roll(F.avg, gk, k) < 0, 0.0).otherwise(roll(F.avg, gk, k)))))}
 
@@ -139,8 +143,8 @@ def range_volatility(w):
 def donchian(w):
     out = {}
     for k in w:
-        hi, lo = roll(F.max, H, k), roll(F.min, L, k)
-        out |= {f"feat_donchian_high_dist_{k}": div(C, hi) - 1, f"feat_donchian_low_dist_{k}": div(C, lo) - 1, f"feat_donchian_mid_dist_{k}": div(C, (hi + lo) / 2) - 1, f"feat_donchian_width_{k}": div(hi - lo, C)}
+        hi, lo = roll(F.max, H(), k), roll(F.min, L(), k)
+        out |= {f"feat_donchian_high_dist_{k}": div(C(), hi) - 1, f"feat_donchian_low_dist_{k}": div(C(), lo) - 1, f"feat_donchian_mid_dist_{k}": div(C(), (hi + lo) / 2) - 1, f"feat_donchian_width_{k}": div(hi - lo, C())}
     return out
 
 
@@ -152,8 +156,8 @@ def _mad(window: Column, mean: Column) -> Column:
 def oscillators(w, cci=(20, 50)):
     out = {}
     for k in w:
-        hi, lo = roll(F.max, H, k), roll(F.min, L, k)
-        out |= {f"feat_stoch_k_{k}": 100 * div(C - lo, hi - lo), f"feat_williams_r_{k}": -100 * div(hi - C, hi - lo)}
+        hi, lo = roll(F.max, H(), k), roll(F.min, L(), k)
+        out |= {f"feat_stoch_k_{k}": 100 * div(C() - lo, hi - lo), f"feat_williams_r_{k}": -100 * div(hi - C(), hi - lo)}
     tp = F.col("_tp")
     for k in cci:
         m = roll(F.avg, tp, k)
@@ -167,8 +171,8 @@ def oscillators(w, cci=(20, 50)):
 def higher_moments(w):
     out = {}
     for k in w:
-        full = F.count(R).over(back(k)) == k
-        g1, g2 = F.skewness(R).over(back(k)), F.kurtosis(R).over(back(k))
+        full = F.count(R()).over(back(k)) == k
+        g1, g2 = F.skewness(R()).over(back(k)), F.kurtosis(R()).over(back(k))
         out |= {f"feat_ret_skew_{k}": F.when(full, g1 * (math.sqrt(k * (k - 1)) / (k - 2))), f"feat_ret_kurt_{k}": F.when(full, ((k + 1) * g2 + 6) * ((k - 1) / ((k - 2) * (k - 3))))}
     return out
 
@@ -178,9 +182,9 @@ def risk_proxy(w, seconds: int = 3600):
     ann, down = math.sqrt(365 * 86400 / seconds), F.col("_down")
     out = {}
     for k in w:
-        m, full = roll(F.avg, R, k), F.count(R).over(back(k)) == k
-        out |= {f"feat_rolling_sharpe_proxy_{k}": div(m, roll(F.stddev_samp, R, k)) * ann, f"feat_rolling_sortino_proxy_{k}": div(m, roll(F.stddev_samp, down, k)) * ann}
-        q = F.percentile(R, F.array(F.lit(0.01), F.lit(0.05))).over(back(k))
+        m, full = roll(F.avg, R(), k), F.count(R()).over(back(k)) == k
+        out |= {f"feat_rolling_sharpe_proxy_{k}": div(m, roll(F.stddev_samp, R(), k)) * ann, f"feat_rolling_sortino_proxy_{k}": div(m, roll(F.stddev_samp, down, k)) * ann}
+        q = F.percentile(R(), F.array(F.lit(0.01), F.lit(0.05))).over(back(k))
         out |= {f"feat_var_q001_{k}": F.when(full, q[0]), f"feat_var_q005_{k}": F.when(full, q[1])}
     return out
 
@@ -188,7 +192,7 @@ def risk_proxy(w, seconds: int = 3600):
 @family(10, 20, 50, 100)
 def volume_pressure(w):
     sv = F.col("_sv")
-    return {"feat_signed_volume": sv} | {n: v for k in w for n, v in ((f"feat_signed_volume_sum_{k}", roll(F.sum, sv, k)), (f"feat_volume_pressure_{k}", div(roll(F.sum, sv, k), roll(F.sum, V, k))))}
+    return {"feat_signed_volume": sv} | {n: v for k in w for n, v in ((f"feat_signed_volume_sum_{k}", roll(F.sum, sv, k)), (f"feat_volume_pressure_{k}", div(roll(F.sum, sv, k), roll(F.sum, V(), k))))}
 
 
 @family(10, 20, 50, 100)
@@ -196,7 +200,7 @@ def liquidity_proxy(w):
     dv = F.col("_dv")
     out = {"feat_dollar_volume": dv}
     for k in w:
-        out |= {f"feat_dollar_volume_mean_{k}": roll(F.avg, dv, k), f"feat_dollar_volume_z_{k}": _z(dv, k), f"feat_amihud_illiq_{k}": roll(F.avg, div(F.abs(R), dv), k)}
+        out |= {f"feat_dollar_volume_mean_{k}": roll(F.avg, dv, k), f"feat_dollar_volume_z_{k}": _z(dv, k), f"feat_amihud_illiq_{k}": roll(F.avg, div(F.abs(R()), dv), k)}
     return out
 
 
@@ -204,7 +208,7 @@ def liquidity_proxy(w):
 def shock_features(w):
     out = {}
     for k in w:
-        z = _z(R, k)
+        z = _z(R(), k)
         out |= {f"feat_ret_shock_z_{k}": z, f"feat_range_shock_z_{k}": _z(F.col("_range"), k), f"feat_dollar_volume_shock_z_{k}": _z(F.col("_dv"), k), f"feat_large_move_flag_{k}": flag(F.abs(z) >= 2.5)}
     return out
 
@@ -214,8 +218,8 @@ def market_structure(w):
     out = {}
     for k in w:
         f = ahead(-k, -1)
-        hi, lo = F.when(F.count(H).over(f) == k, F.max(H).over(f)), F.when(F.count(L).over(f) == k, F.min(L).over(f))
-        out |= {f"feat_breakout_up_{k}": flag(C > hi), f"feat_breakout_down_{k}": flag(C < lo), f"feat_close_to_prev_high_{k}": div(C, hi) - 1, f"feat_close_to_prev_low_{k}": div(C, lo) - 1}
+        hi, lo = F.when(F.count(H()).over(f) == k, F.max(H()).over(f)), F.when(F.count(L()).over(f) == k, F.min(L()).over(f))
+        out |= {f"feat_breakout_up_{k}": flag(C() > hi), f"feat_breakout_down_{k}": flag(C() < lo), f"feat_close_to_prev_high_{k}": div(C(), hi) - 1, f"feat_close_to_prev_low_{k}": div(C(), lo) - 1}
     return out
 
 
@@ -228,8 +232,8 @@ def time_context(w):
 
 @family()
 def ml_safety(w):
-    whole_row = O.isNotNull() & H.isNotNull() & L.isNotNull() & C.isNotNull() & V.isNotNull()
-    return {"feat_valid_ohlcv_flag": flag(whole_row & (C > 0) & (H >= L)), "feat_zero_volume_flag": flag(V <= 0)}
+    whole_row = O().isNotNull() & H().isNotNull() & L().isNotNull() & C().isNotNull() & V().isNotNull()
+    return {"feat_valid_ohlcv_flag": flag(whole_row & (C() > 0) & (H() >= L())), "feat_zero_volume_flag": flag(V() <= 0)}
 
 
 @family(20, 50, 100, 200)
@@ -237,7 +241,7 @@ def regime(w):
     """Second-level families: the columns _sd{k} are windows themselves."""
     out = {}
     for k in w:
-        out |= {f"feat_efficiency_ratio_{k}": div(F.abs(LC - lag(LC, k)), roll(F.sum, F.abs(R), k)), f"feat_vol_regime_z_{k}": _z(F.col(f"_sd{k}"), k), f"feat_vol_of_vol_{k}": roll(F.stddev_samp, F.col(f"_sd{k}"), k)}
+        out |= {f"feat_efficiency_ratio_{k}": div(F.abs(LC() - lag(LC(), k)), roll(F.sum, F.abs(R()), k)), f"feat_vol_regime_z_{k}": _z(F.col(f"_sd{k}"), k), f"feat_vol_of_vol_{k}": roll(F.stddev_samp, F.col(f"_sd{k}"), k)}
     return out
 
 
@@ -247,9 +251,9 @@ def features(bars: DataFrame, families: dict | list | None = None) -> DataFrame:
     rows = prepared(bars)
     extra = {}
     if "autocorrelation" in chosen:
-        extra |= {f"_rl{j}": lag(R, j) for j in (1, 2, 3, 5)}
+        extra |= {f"_rl{j}": lag(R(), j) for j in (1, 2, 3, 5)}
     if "regime" in chosen:
-        extra |= {f"_sd{k}": roll(F.stddev_samp, R, k) for k in chosen["regime"]}
+        extra |= {f"_sd{k}": roll(F.stddev_samp, R(), k) for k in chosen["regime"]}
     rows = rows.withColumns(extra) if extra else rows
     columns = {}
     for name, windows in chosen.items():

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import ahead, back, div, flag, lag, lead, ln, roll, whole
 
-C, H, L = F.col("close"), F.col("high"), F.col("low")
+def _column(name: str):
+    return lambda: F.col(name)  # made when it is used, as columns need a session
+
+
+C, H, L = map(_column, ("close", "high", "low"))
 #: Round-trip costs in bps by source.
 COSTS = {"default": (20.0, 15.0, 0.0), "binance_spot": (20.0, 10.0, 0.0), "bybit_linear": (12.0, 12.0, 2.0)}
 
@@ -19,9 +23,9 @@ def forward_returns(bars: DataFrame, horizons=(1, 5, 20), seconds: int = 3600, s
     fee, slip, funding = COSTS[source]
     cols = {}
     for h in horizons:
-        gross = div(lead(C, h), C) - 1
+        gross = div(lead(C(), h), C()) - 1
         cost = (fee + slip + funding * h * seconds / 86400) / 1e4
-        cols |= {f"label_fwd_ret_gross_long_h{h}": gross, f"label_fwd_ret_gross_short_h{h}": -gross, f"label_fwd_ret_net_long_h{h}": gross - cost, f"label_fwd_ret_net_short_h{h}": -gross - cost, f"label_fwd_ret_net_long_bps_h{h}": (gross - cost) * 1e4, f"label_fwd_log_ret_h{h}": ln(lead(C, h)) - ln(C)}
+        cols |= {f"label_fwd_ret_gross_long_h{h}": gross, f"label_fwd_ret_gross_short_h{h}": -gross, f"label_fwd_ret_net_long_h{h}": gross - cost, f"label_fwd_ret_net_short_h{h}": -gross - cost, f"label_fwd_ret_net_long_bps_h{h}": (gross - cost) * 1e4, f"label_fwd_log_ret_h{h}": ln(lead(C(), h)) - ln(C())}
     return bars.withColumns(cols)
 
 
@@ -30,14 +34,14 @@ def directional(bars: DataFrame, horizons=(3, 5), thresholds=(5, 25, 100), sourc
     fee, slip, _ = COSTS[source]
     cols = {}
     for h in horizons:
-        gross = (div(lead(C, h), C) - 1) * 1e4
+        gross = (div(lead(C(), h), C()) - 1) * 1e4
         for t in thresholds:
             cols[f"label_dir_h{h}_thr{t}bps"] = F.when(gross - fee - slip >= t, 1.0).when(-gross - fee - slip >= t, -1.0).otherwise(0.0)
     return bars.withColumns(cols)
 
 
 def quantile_bucket(bars: DataFrame, horizons=(10,), window: int = 1000, least: int = 200) -> DataFrame:
-    out = bars.withColumns({f"_f{h}": div(lead(C, h), C) - 1 for h in horizons})
+    out = bars.withColumns({f"_f{h}": div(lead(C(), h), C()) - 1 for h in horizons})
     cols = {}
     for h in horizons:
         x = F.col(f"_f{h}")
@@ -51,15 +55,15 @@ def path_extremes(bars: DataFrame, horizons=(5, 20)) -> DataFrame:
     """Best and worst path over the next h bars (fewer at the end), range, risk and reward, tail events."""
     cols = {}
     for h in horizons:
-        hi, lo = F.max(H).over(ahead(1, h)), F.min(L).over(ahead(1, h))
-        up, down = div(hi, C) - 1, div(lo, C) - 1
+        hi, lo = F.max(H()).over(ahead(1, h)), F.min(L()).over(ahead(1, h))
+        up, down = div(hi, C()) - 1, div(lo, C()) - 1
         mae = F.when(down != 0, F.abs(down))
-        cols |= {f"label_mfe_long_h{h}": up, f"label_mae_long_h{h}": down, f"label_mfe_short_h{h}": -down, f"label_mae_short_h{h}": -up, f"label_range_bps_h{h}": div(hi - lo, C) * 1e4, f"label_future_rr_long_h{h}": div(up, mae), f"label_future_rr_long_h{h}_gt_1": flag(div(up, mae) > 1), f"label_tail_up_h{h}_100bps": flag(up * 1e4 >= 100), f"label_tail_down_h{h}_100bps": flag(down * 1e4 <= -100)}
+        cols |= {f"label_mfe_long_h{h}": up, f"label_mae_long_h{h}": down, f"label_mfe_short_h{h}": -down, f"label_mae_short_h{h}": -up, f"label_range_bps_h{h}": div(hi - lo, C()) * 1e4, f"label_future_rr_long_h{h}": div(up, mae), f"label_future_rr_long_h{h}_gt_1": flag(div(up, mae) > 1), f"label_tail_up_h{h}_100bps": flag(up * 1e4 >= 100), f"label_tail_down_h{h}_100bps": flag(down * 1e4 <= -100)}
     return bars.withColumns(cols)
 
 
 def future_volatility(bars: DataFrame, horizons=(10,), seconds: int = 3600, window: int = 1000, least: int = 200) -> DataFrame:
-    out = bars.withColumn("_r", ln(C) - lag(ln(C)))
+    out = bars.withColumn("_r", ln(C()) - lag(ln(C())))
     f = {h: ahead(1, h) for h in horizons}
     out = out.withColumns({f"label_future_rv_h{h}": F.when(F.count("_r").over(w) >= max(2, h // 3), F.stddev_samp("_r").over(w)) for h, w in f.items()})
     cols = {}
@@ -72,7 +76,7 @@ def future_volatility(bars: DataFrame, horizons=(10,), seconds: int = 3600, wind
 
 
 def trend_regime(bars: DataFrame, horizons=(10,), thresholds=(10, 50)) -> DataFrame:
-    return bars.withColumns({f"label_trend_h{h}_{t}bps": F.when((div(lead(C, h), C) - 1) * 1e4 >= t, 1.0).when((div(lead(C, h), C) - 1) * 1e4 <= -t, -1.0).otherwise(0.0) for h in horizons for t in thresholds})
+    return bars.withColumns({f"label_trend_h{h}_{t}bps": F.when((div(lead(C(), h), C()) - 1) * 1e4 >= t, 1.0).when((div(lead(C(), h), C()) - 1) * 1e4 <= -t, -1.0).otherwise(0.0) for h in horizons for t in thresholds})
 
 
 def barrier_grid(kind: str = "fixed", stops=(50, 100), takes=(50, 100, 200), horizons=(5, 16)) -> list[dict]:
@@ -97,7 +101,7 @@ def triple_barrier(bars: DataFrame, configs: list[dict], width: str | None = Non
         x = path.withColumn("_c", conf).select("*", "_c.*")
         unit = F.greatest(F.col(width), F.lit(floor)) if width else F.lit(1.0)
         long = F.col("side") == "long"
-        x = x.withColumn("_sl", F.when(long, C * (1 - F.col("stop") * unit)).otherwise(C * (1 + F.col("stop") * unit))).withColumn("_tp", F.when(long, C * (1 + F.col("take") * unit)).otherwise(C * (1 - F.col("take") * unit)))
+        x = x.withColumn("_sl", F.when(long, C() * (1 - F.col("stop") * unit)).otherwise(C() * (1 + F.col("stop") * unit))).withColumn("_tp", F.when(long, C() * (1 + F.col("take") * unit)).otherwise(C() * (1 - F.col("take") * unit)))
         x = x.withColumn("_i", F.expr("array_position(transform(_p, p -> if(side = 'long', p.low <= _sl, p.high >= _sl)), true)")).withColumn("_j", F.expr("array_position(transform(_p, p -> if(side = 'long', p.high >= _tp, p.low <= _tp)), true)"))
         none = F.size("_p") == 0
         stop = (F.col("_i") > 0) & ((F.col("_j") == 0) | (F.col("_i") <= F.col("_j")))
@@ -105,7 +109,7 @@ def triple_barrier(bars: DataFrame, configs: list[dict], width: str | None = Non
         bar = F.when(stop, F.col("_i")).when(take, F.col("_j")).otherwise(F.size("_p"))
         x = x.withColumn("holding_bars", F.when(~none, bar.cast("int"))).withColumn("label", F.when(none, None).when(stop, -1.0).when(take, 1.0).otherwise(0.0)).withColumn("event", F.when(none, "").when(stop, "stop_loss").when(take, "take_profit").otherwise("time_exit"))
         x = x.withColumn("_e", F.expr("try_element_at(_p, holding_bars)")).withColumn("exit_price", F.when(none, None).when(stop, F.col("_sl")).when(take, F.col("_tp")).otherwise(F.col("_e.c")))
-        ret = F.when(F.col("side") == "long", div(F.col("exit_price"), C) - 1).otherwise(1 - div(F.col("exit_price"), C))
+        ret = F.when(F.col("side") == "long", div(F.col("exit_price"), C()) - 1).otherwise(1 - div(F.col("exit_price"), C()))
         parts.append(x.select("series_id", "timestamp_utc_ms", "config_id", "side", "label", "event", "holding_bars", "exit_price", ret.alias("gross_return"), F.col("_e.t").alias("exit_timestamp_utc_ms")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -113,9 +117,9 @@ def triple_barrier(bars: DataFrame, configs: list[dict], width: str | None = Non
 def barrier_width(bars: DataFrame, kind: str = "vol", window: int = 20) -> DataFrame:
     """Bars with the column ``width``: rolling volatility, or ATR (first true range: high less low) over close."""
     if kind == "vol":
-        return bars.withColumn("_r", ln(C) - lag(ln(C))).withColumn("width", roll(F.stddev_samp, F.col("_r"), window)).drop("_r")
-    out = bars.withColumn("_tr", F.greatest(H - L, F.abs(H - lag(C)), F.abs(L - lag(C))))
-    return out.withColumn("width", div(roll(F.avg, F.col("_tr"), window), C)).drop("_tr")
+        return bars.withColumn("_r", ln(C()) - lag(ln(C()))).withColumn("width", roll(F.stddev_samp, F.col("_r"), window)).drop("_r")
+    out = bars.withColumn("_tr", F.greatest(H() - L(), F.abs(H() - lag(C())), F.abs(L() - lag(C()))))
+    return out.withColumn("width", div(roll(F.avg, F.col("_tr"), window), C())).drop("_tr")
 
 
 def cross_sectional_rank(labels: DataFrame, column: str) -> DataFrame:
