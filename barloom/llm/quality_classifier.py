@@ -58,8 +58,11 @@ def features(text: bytes, buckets: int):
         at = end
 
 
-def train_numpy(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dim: int, epochs: int, rate: float, seed: int) -> QualityModel:
-    """rows: class, buckets, shares of the document's features. Classes weigh the same."""
+def train_numpy(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dim: int, epochs: int, rate: float, seed: int, least_steps: int = 12_000) -> QualityModel:
+    """rows: class, buckets, shares of the document's features. Classes weigh the same.
+
+    A small sample is gone over more often, for ``least_steps`` in all.
+    """
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     w, b = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -68,6 +71,7 @@ def train_numpy(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, di
         b[:] = [0.0, 2.0] if n[1] or not n[0] else [2.0, 0.0]
         return QualityModel(e * 0, w, b)
     weight = len(rows) / (2.0 * n)
+    epochs = max(epochs, -(-least_steps // len(rows)))
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
