@@ -31,8 +31,8 @@ from .common import BASE, mix64, powers, slices
 MARK = "▁"
 #: Words of this length or more aren't kept.
 _LONG = 256
-_KEEP = 150_000
-_ROWS = 256
+_KEEP = 300_000
+_ROWS = 512
 _POW = powers(BASE, 1 << 10)
 #: A run of marks and what follows it.
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -185,53 +185,87 @@ def _joined(m: Pieces, parts: list[list[int]]) -> list[int]:
     return out
 
 
+def _at(prefix: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of one substring [start, end) of each of the rows."""
+    h = (prefix[rows, end] - prefix[rows, start]) * _INV[start]
+    return mix64(h + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _merges(m: Pieces, words: list[str]) -> list[list[int]]:
-    """Words of one length: every step merges each word's best-scored adjacent pair, the leftmost of equals."""
+    """Words of one length: every step merges each word's best-scored adjacent pair, the leftmost of equals.
+
+    Symbols are linked by their starts; a step touches one symbol and its two
+    neighbours of each word, besides the search for the best. Words that are done
+    go once they are half of those held.
+    """
     codes = _codes(words)
     n, length = codes.shape
     prefix = _prefix(codes)
-    # symbols of each word: starts in rows, ``left`` of them, with the word's length behind
-    starts = np.tile(np.arange(length + 2), (n, 1))
-    starts[:, length:] = length
-    left = np.full(n, length)
-    score = np.full((n, length + 1), -np.inf)
-
-    def pair_scores(rows, cols):
-        """Scores of the pairs (symbol col, symbol col + 1) of the rows; -inf for none."""
-        s, e = starts[rows, cols], starts[rows, np.minimum(cols + 2, length + 1)]
-        ok = cols + 1 < left[rows]
-        h = _spans(prefix[rows], s[:, None], e[:, None])[:, 0]
-        ids = _probe(m, h)
-        return np.where(ok & (ids >= 0), m.scores[ids], -np.inf)
-
+    nxt = np.tile(np.arange(1, length + 1), (n, 1))
+    prv = np.tile(np.arange(-1, length - 1), (n, 1))
+    score = np.full((n, length), -np.inf, np.float32)
     if length > 1:
         s = np.broadcast_to(np.arange(length - 1), (n, length - 1))
         ids = _probe(m, _spans(prefix, s, s + 2))
         score[:, : length - 1] = np.where(ids >= 0, m.scores[ids], -np.inf)
-    live = np.arange(n)
-    columns = np.arange(length + 1)
-    while len(live):
-        own = score[live]
-        at = own.argmax(1)
-        go = own[np.arange(len(live)), at] > -np.inf
-        live, at = live[go], at[go]
-        if not len(live):
-            break
-        # symbol at + 1 goes; what stands behind moves one to the left
-        moved = np.minimum(columns + (columns > at[:, None]), length)
-        starts[live[:, None], columns] = np.take_along_axis(starts[live], np.minimum(columns + (columns > at[:, None]), length + 1), 1)
-        score[live] = np.take_along_axis(score[live], moved, 1)
-        left[live] -= 1
-        score[live, at] = pair_scores(live, at)
-        before = at > 0
-        if before.any():
-            score[live[before], at[before] - 1] = pair_scores(live[before], at[before] - 1)
-    # one probe for all symbols
-    s, e = starts[:, :length], starts[:, 1 : length + 1]
-    ids = _probe(m, _spans(prefix, s, e))
-    out = []
-    for w, k, row, at in zip(words, left.tolist(), ids.tolist(), starts.tolist(), strict=True):
-        out.append(_joined(m, [[row[i]] if row[i] >= 0 else _fallback(m, w[at[i] : at[i + 1]]) for i in range(k)]))
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    held, pre = np.arange(n), prefix
+
+    def offer(rows, at):
+        """Scores of the symbols' pairs with what follows them."""
+        right = nxt[rows, at]
+        ok = right < length
+        rows, at, right = rows[ok], at[ok], right[ok]
+        ids = _probe(m, _at(pre, rows, at, nxt[rows, right]))
+        score[rows, at] = np.where(ids >= 0, m.scores[ids], -np.inf)
+
+    while len(held):
+        at = score.argmax(1)
+        go = np.flatnonzero(score[np.arange(len(held)), at] > -np.inf)
+        if 2 * len(go) <= len(held):
+            rest = np.ones(len(held), bool)
+            rest[go] = False
+            done.append((held[rest], nxt[rest]))
+            held, nxt, prv, score, pre, at = held[go], nxt[go], prv[go], score[go], pre[go], at[go]
+            go = np.arange(len(held))
+            if not len(held):
+                break
+            i = at
+        else:
+            i = at[go]
+        j = nxt[go, i]
+        after = nxt[go, j]
+        nxt[go, i] = after
+        score[go, j] = score[go, i] = -np.inf
+        inner = after < length
+        prv[go[inner], after[inner]] = i[inner]
+        offer(go, i)
+        left = prv[go, i]
+        has = left >= 0
+        score[go[has], left[has]] = -np.inf
+        offer(go[has], left[has])
+    where, links = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+    # symbols of all words, one after the other; one probe for all
+    starts, at = [np.zeros(len(where), np.int64)], np.zeros(len(where), np.int64)
+    rows, open_ = [np.arange(len(where))], np.arange(len(where))
+    while len(open_ := open_[(at := links[open_, at]) < length]):
+        at = at[at < length]
+        starts.append(at)
+        rows.append(open_)
+    r, s = np.concatenate(rows), np.concatenate(starts)
+    order = np.lexsort((s, r))
+    r, s = r[order], s[order]
+    e = links[r, s]
+    ids = _probe(m, _at(prefix, where[r], s, e))
+    cuts = np.flatnonzero(np.diff(r)) + 1
+    out: list = [None] * n
+    whole = (ids >= 0).all()
+    flat, first, last = ids.tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(ids)]
+    for w, a, b in zip(where.tolist(), first, last, strict=True):
+        part = flat[a:b]
+        if not whole and min(part) < 0:
+            part = _joined(m, [[k] if k >= 0 else _fallback(m, words[w][int(s[a + x]) : int(e[a + x])]) for x, k in enumerate(part)])
+        out[w] = part
     return out
 
 
