@@ -90,3 +90,27 @@ def classification_metrics(pred: DataFrame, by: list[str]) -> DataFrame:
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     out = out.withColumns({"accuracy": div(tp + tn, tp + tn + fp + fn), "precision": div(tp, tp + fp), "recall": div(tp, tp + fn), "specificity": div(tn, tn + fp)})
     return out.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)
+
+
+#: Parts of names that put a feature first.
+PRIORITY = ("xasset_", "ret_log", "rv_std", "atr_", "bb_", "rsi_", "ema_", "volume_z", "dollar_volume", "efficiency", "vol_regime", "breakout", "cost_")
+
+
+def choose_features(columns: list[str], most: int = 80) -> list[str]:
+    """Up to ``most`` names, those with a priority part first, each kind in its own order."""
+    first = lambda c: not any(p in c for p in PRIORITY)
+    return sorted(columns, key=first)[: max(1, most)]
+
+
+def strategy_proxy(pred: DataFrame, proba: str, ret: str, by: list[str], least: float = 0.55) -> DataFrame:
+    """What trading each row with a probability of ``least`` or more would have made: hits, compounded return, drawdown."""
+    w = Window.partitionBy(*by).orderBy("timestamp_utc_ms").rowsBetween(Window.unboundedPreceding, 0)
+    on = F.col(proba) >= least
+    x = pred.withColumn("_on", F.coalesce(on, F.lit(False))).withColumn("_pnl", F.when(F.col("_on"), F.coalesce(F.col(ret), F.lit(0.0))).otherwise(0.0))
+    x = x.withColumn("_eq", F.exp(F.sum(F.log1p(F.greatest(F.lit(-0.99), F.least(F.col("_pnl"), F.lit(10.0))))).over(w)))
+    x = x.withColumn("_dd", F.col("_eq") / F.greatest(F.max("_eq").over(w), F.lit(1e-12)) - 1)
+    pnl = F.col("_pnl")
+    return x.groupBy(*by).agg(
+        F.count(F.when(F.col("_on"), 1)).alias("trades"), F.avg(pnl).alias("mean_return_per_bar"), F.coalesce(F.avg(F.when(F.col("_on"), pnl)), F.lit(0.0)).alias("mean_return_when_active"),
+        F.avg(F.when(F.col("_on"), (pnl > 0).cast("int"))).alias("hit_rate_when_active"), (F.max_by("_eq", "timestamp_utc_ms") - 1).alias("total_return_proxy"), F.min("_dd").alias("max_drawdown_proxy"),
+    )

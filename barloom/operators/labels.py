@@ -114,6 +114,51 @@ def triple_barrier(bars: DataFrame, configs: list[dict], width: str | None = Non
     return reduce(DataFrame.unionByName, parts)
 
 
+def risk_reward(bars: DataFrame, horizons=(5, 10, 20, 30, 60, 120), thresholds=(0.75, 1.0, 1.5, 2.0, 3.0)) -> DataFrame:
+    """Best rise over deepest fall of the next h bars; no fall gives null, and a null ratio the flag 0."""
+    out = bars.withColumns({f"label_future_rr_long_h{h}": div(div(F.max(H()).over(ahead(1, h)), C()) - 1, F.abs(div(F.min(L()).over(ahead(1, h)), C()) - 1)) for h in horizons})
+    return out.withColumns({f"label_future_rr_long_h{h}_gt_{str(float(t)).replace('.', '_')}": flag(F.col(f"label_future_rr_long_h{h}") >= t) for h in horizons for t in thresholds})
+
+
+def tail_events(bars: DataFrame, horizons=(5, 10, 20, 30, 60, 120), thresholds=(50, 100, 150, 250, 500)) -> DataFrame:
+    """Greatest rise and fall of the next h bars in bps, and whether they pass each threshold."""
+    out = bars.withColumns({f"label_future_tail_{n}_bps_h{h}": (div(x.over(ahead(1, h)), C()) - 1) * 1e4 for h in horizons for n, x in (("up", F.max(H())), ("down", F.min(L())))})
+    cols = {}
+    for h in horizons:
+        for t in thresholds:
+            cols |= {f"label_tail_up_h{h}_gt_{t}bps": flag(F.col(f"label_future_tail_up_bps_h{h}") >= t), f"label_tail_down_h{h}_lt_{t}bps": flag(F.col(f"label_future_tail_down_bps_h{h}") <= -t)}
+    return out.withColumns(cols)
+
+
+def full_grid() -> list[dict]:
+    """All 462 configurations, with the window of the width that scales them (none: bps)."""
+    # Stops, targets, horizons and windows of each kind.
+    kinds = (("vol", (20, 50, 100), (0.75, 1.0, 1.5), (1.0, 1.5, 2.0, 3.0), (8, 16, 32, 64, 128)), ("atr", (14, 21, 50), (0.75, 1.0, 1.5), (1.0, 1.5, 2.0), (8, 16, 32, 64)), ("fixed", (0,), (15, 25, 50, 75, 100, 150), (20, 40, 75, 100, 150, 250), (5, 10, 20, 30, 60, 120)))
+    return [c | {"window": w, "config_id": f"w{w}_{c['config_id']}" if w else c["config_id"]} for kind, windows, sl, tp, hs in kinds for w in windows for c in barrier_grid(kind, sl, tp, hs)]
+
+
+def all_barriers(bars: DataFrame, configs: list[dict]) -> DataFrame:
+    """``triple_barrier`` of configurations of every kind and window."""
+    parts = []
+    for kind, window in sorted({(c["kind"], c["window"]) for c in configs}):
+        own = [c for c in configs if (c["kind"], c["window"]) == (kind, window)]
+        if kind == "fixed":
+            parts.append(triple_barrier(bars, own))
+        else:
+            x = barrier_width(bars, kind, window)
+            parts.append(triple_barrier(x, own, "width").join(x.select("series_id", "timestamp_utc_ms", "width").where("width is not null"), ["series_id", "timestamp_utc_ms"], "left_semi"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def meta_labels(touched: DataFrame, configs: list[dict], seconds: int = 3600, source: str = "default") -> DataFrame:
+    """Net return (funding over the whole horizon) and whether a touch of the target also pays its costs; null counts as 0."""
+    fee, slip, funding = COSTS[source]
+    table = F.create_map(*(F.lit(v) for c in configs for v in (c["config_id"], float(c["horizon"]))))
+    cost = (F.lit(fee + slip) + table[F.col("config_id")] * (funding * seconds / 86400)) / 1e4
+    out = touched.withColumn("net_return", F.col("gross_return") - cost)
+    return out.withColumn("meta_success_net", flag((F.col("label") == 1.0) & (F.col("net_return") > 0)))
+
+
 def barrier_width(bars: DataFrame, kind: str = "vol", window: int = 20) -> DataFrame:
     """Bars with the column ``width``: rolling volatility, or ATR (first true range: high less low) over close."""
     if kind == "vol":
