@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, raw_texts, slices, word_hashes
+from .common import cut, mix64, raw_texts, slices, word_hashes
 
 SHINGLE = 5
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917)]
@@ -185,8 +185,8 @@ def _links(windows: DataFrame, width: int) -> DataFrame:
     return sorted_windows.mapInArrow(run, "doc long, src long, seed long")
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, name: str) -> DataFrame:
-    """16 bits of every shingle's hash, for texts long enough; enough to verify runs of dozens."""
+def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """_id and sig: 16 bits of every shingle's hash, for texts long enough; enough to verify runs of dozens."""
 
     def run(batches):
         for b in slices(batches):
@@ -195,9 +195,9 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int, name: s
                 if d is not None and text and len(s := shingle_hashes(text)) >= width:
                     ids.append(d)
                     sigs.append((s >> np.uint64(48)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], names=["_id", name])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], names=["_id", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_col).mapInArrow(run, f"_id long, {name} binary")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), text_col).mapInArrow(run, "_id long, sig binary")
 
 
 def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], width: int, need: int, similarity: float):
@@ -286,9 +286,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError("words or hashes out of range")
     links = _links(_windows(docs, id_col, text_col, width, hashes), width)
     pairs = links.groupBy("doc", "src").agg(F.collect_list("seed").alias("seeds"), F.bit_or(F.expr("shiftleft(1, cast(seed & 7 as int))")).alias("_k")).where(F.bit_count("_k") >= need).drop("_k")
-    mine = _signatures(docs, id_col, text_col, width, "x").dropDuplicates(["_id"])
-    theirs = _signatures(docs, id_col, text_col, width, "y").dropDuplicates(["_id"])
-    both = pairs.join(mine, F.col("doc") == F.col("_id")).drop("_id").join(theirs, F.col("src") == F.col("_id")).select("doc", "src", "seeds", "x", "y")
+    # A source that many documents repeat is salted: its signature goes once to each salt in use.
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")))
+    signed = _signatures(docs, id_col, text_col, width).dropDuplicates(["_id"])
+    mine = signed.select(F.col("_id").alias("doc"), F.col("sig").alias("x"))
+    theirs = signed.select(F.col("_id").alias("src"), F.col("sig").alias("y"))
+    copies = pairs.select("src", "salt").distinct().join(theirs, "src")
+    both = pairs.join(mine, "doc").join(copies, ["src", "salt"]).select("doc", "src", "seeds", "x", "y")
     names = [id_col, "first_word", "end_word", "src_doc_id", "src_first_word", "similarity"]
 
     def run(batches):
