@@ -75,3 +75,21 @@ def registry(experiments: DataFrame, metrics: DataFrame, datasets: DataFrame) ->
     """Experiments with their metrics and datasets, and a status."""
     out = experiments.join(metrics, "experiment_id", "left").join(datasets, "series_id", "left")
     return out.withColumn("status", F.when(F.col("trades").isNull(), "NO_BACKTEST").when(F.col("trades") < 30, "FEW_TRADES").otherwise("OK")).withColumn("registry_hash", F.substring(F.sha2(F.concat_ws("|", "experiment_id", "series_id"), 256), 1, 16))
+
+
+#: Column, the texts that don't stop it, and the status if it has another one; the first counts.
+REVIEWS = (
+    ("walk_forward_status", ("OK",), "BLOCKED_WALK_FORWARD"),
+    ("backtest_status", ("OK", None), "NEEDS_BACKTEST_REVIEW"),
+    ("validation_status", ("PASS", None), "NEEDS_VALIDATION_REVIEW"),
+    ("stress_status", ("OK", None), "NEEDS_STRESS_REVIEW"),
+)
+
+
+def review_status(gate: str = "ml_gate") -> Column:
+    """What an experiment waits for: its data, its training, its backtest, the backtest's checks or its stress runs."""
+    out = F.lit("RESEARCH_REGISTERED")
+    for column, fine, otherwise in reversed(REVIEWS):
+        good = F.col(column).isin(*[v for v in fine if v])
+        out = F.when(F.coalesce(good, F.lit(None in fine)), out).otherwise(otherwise)
+    return F.when(F.col(gate) == "ML_BLOCKED", "BLOCKED_DATA_QUALITY").otherwise(out)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features as feat
 from ..operators import labels as lab
 from ..sources import bars as src
-from . import extra, oracle, research
+from . import extra, more, oracle, research
 
 #: Windows and digits of each family's query.
 FAMILY_QUERIES = {
@@ -78,7 +78,7 @@ def queries() -> dict:
     out |= {f"feat_{n}": _family(n, *v) for n, v in FAMILY_QUERIES.items()}
     out |= {"feat_autocorrelation": _autocorrelation, "feat_oscillators": _oscillators, "feat_ewm": lambda s, d: rounded(feat.ewm_features(src.bars(s, d)))}
     out |= {f"label_{n}": _labels(n) for n in ("forward_returns", "directional", "quantile_bucket", "path_extremes", "future_volatility", "trend_regime")}
-    return out | {"label_triple_barrier": _barriers} | research.queries() | extra.queries()
+    return out | {"label_triple_barrier": _barriers} | research.queries() | extra.queries() | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -93,4 +93,4 @@ def oracle_sql() -> dict[str, str]:
     gross = f"({f.div(f.lead('close', 5), 'close')} - 1)"
     out["flagship"] = f"""WITH {f.bars_sql()}, {f.PREPARED}, d AS (SELECT *, {f.roll('stddev_samp', 'r', 7)} AS rv, {f.div('close', f.roll('avg', 'close', 7))} - 1 AS sr, ({gross} - 0.0035) * 1e4 AS net, CASE WHEN {gross} * 1e4 - 35.0 >= 25 THEN 1 ELSE 0 END AS hit FROM c)
 SELECT series_id, count(*) AS n, round(avg(hit), 4) + 0.0 AS hit_rate, round(avg(net), 4) + 0.0 AS mean_net_bps, round(avg(rv), 4) + 0.0 AS mean_rv_7, round(avg(sr), 4) + 0.0 AS mean_sma_ratio FROM d GROUP BY series_id"""
-    return out | research.oracle_sql() | extra.oracle_sql()
+    return out | research.oracle_sql() | extra.oracle_sql() | more.oracle_sql()

@@ -8,7 +8,7 @@ from barloom.plans import catalog
 DATA = "/root/testdata/sf0.001"
 SQL = catalog.oracle_sql()
 #: One of each kind; the others are compared by the driver at sf0.01.
-NAMES = ["label_tail_blocks", "feat_volatility_blocks", "execution_costs", "path_exits", "trades_checked", "flagship", "bars_7min", "feat_volatility", "feat_risk_proxy", "feat_oscillators", "feat_regime", "label_directional", "label_path_extremes", "label_triple_barrier", "audit", "modal", "dataset_rows", "trade_metrics", "stressed", "upsert_bars", "windows"]
+NAMES = ["names_read", "triaged", "warning_classes", "edges", "bars_as_of", "feat_slopes", "label_tail_blocks", "feat_volatility_blocks", "execution_costs", "path_exits", "trades_checked", "flagship", "bars_7min", "feat_volatility", "feat_risk_proxy", "feat_oscillators", "feat_regime", "label_directional", "label_path_extremes", "label_triple_barrier", "audit", "modal", "dataset_rows", "trade_metrics", "stressed", "upsert_bars", "windows"]
 
 
 def plain(df):
