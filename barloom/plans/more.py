@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import extensions, features, quality, summaries, triage
+from ..operators import backtest, extensions, features, quality, summaries, triage
 from ..sources import bars as src
 from ..sources import shape, synthetic
 from . import oracle as o
+from . import research
 from .extra import _r, _rounded
 
 STEP = 3_600_000
@@ -111,7 +112,28 @@ def aliased(spark, d):
     return _r(shape.coerced(shape.renamed(x)))
 
 
-OWN = (names_read, local_times, triaged, warning_classes, contract, covered, quality_rows, balance, first_bars, edges, bars_as_of, feat_slopes, feat_entropy, label_relative, sinusoid_bars, long_series, aliased)
+def _shares(spark, d) -> DataFrame:
+    return research.all_candidates(spark, d).withColumn("portfolio_return", F.col("net_bps") / 1e4 * 0.00001)
+
+
+def performances(spark, d):
+    out = backtest.performance(_shares(spark, d), ["series_id"])
+    return _r(out.withColumn("score", backtest.score()), 4)
+
+
+def trade_groups(spark, d):
+    return _r(backtest.trade_groups(_shares(spark, d), ("series_id", "side")), 4)
+
+
+def executed_signals(spark, d):
+    """Outcomes of signals on the bars' own volumes; folded over time, so without SQL."""
+    x = research.all_candidates(spark, d)
+    paths = F.col("gross_bps")
+    x = x.select("series_id", "timestamp_utc_ms", "entry_ts", "exit_ts", F.when(F.col("side") == 1, 0.9).otherwise(0.1).alias("proba"), (paths * F.col("side")).alias("gross_bps"), F.greatest(paths * F.col("side"), F.lit(0.0)).alias("best_bps"), F.least(paths * F.col("side"), F.lit(0.0)).alias("worst_bps"), F.lit(22.0).alias("fixed_cost_bps"), F.lit(1.0).alias("funding_bps"), (F.col("close") * F.col("volume")).alias("quote_volume"))
+    return backtest.outcomes(backtest.execute(x, ["series_id"], backtest.Rules(switch=0.0)), ["series_id"])
+
+
+OWN = (performances, trade_groups, executed_signals, names_read, local_times, triaged, warning_classes, contract, covered, quality_rows, balance, first_bars, edges, bars_as_of, feat_slopes, feat_entropy, label_relative, sinusoid_bars, long_series, aliased)
 
 
 def queries() -> dict:
@@ -130,7 +152,18 @@ f AS (SELECT *, rows < 300 AS short, gap_count > 0 AS gaps, return_outlier_count
     dir_ = lambda h, t: f"CASE WHEN ({o.div(o.lead('close', h), 'close')} - 1) * 1e4 - 35.0 >= {t} THEN 1 WHEN -({o.div(o.lead('close', h), 'close')} - 1) * 1e4 - 35.0 >= {t} THEN -1 ELSE 0 END"
     bits = lambda w: " + ".join(f"CASE WHEN avg(CAST(sign(r) = {k} AS INT)) OVER {o.frame(1 - w, 0)} > 0 THEN -avg(CAST(sign(r) = {k} AS INT)) OVER {o.frame(1 - w, 0)} * log2(avg(CAST(sign(r) = {k} AS INT)) OVER {o.frame(1 - w, 0)}) ELSE 0 END" for k in (-1, 0, 1))
     i = "range * 1.0"
+    taken = research.oracle_sql()["curve"].split(", e AS (")[0]
+    so_far = "(PARTITION BY series_id ORDER BY exit_ts, entry_ts ROWS UNBOUNDED PRECEDING)"
+    perf = {"total_return": "arg_max(eq, n) - 1", "max_drawdown": "min(dd)", "win_rate": "avg(CAST(r > 0 AS INT))", "profit_factor": "sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(abs(sum(CASE WHEN r < 0 THEN r END)), 0)", "avg_trade_net_bps": "avg(net_bps)", "median_trade_net_bps": "quantile_cont(net_bps, 0.5)", "best_trade": "max(r)", "worst_trade": "min(r)", "coverage_days": "(max(exit_ts) - min(entry_ts)) / 86400000"}
     return {
+        "performances": f"""{taken}, s AS (SELECT series_id, entry_ts, exit_ts, net_bps, net_bps / 1e4 * 0.00001 AS r FROM t),
+e AS (SELECT *, exp(sum(ln(1 + greatest(-0.99, r))) OVER {so_far}) AS eq, row_number() OVER {so_far.replace(' ROWS UNBOUNDED PRECEDING', '')} AS n, sum(CAST(r >= 0 AS INT)) OVER {so_far} AS island FROM s), q AS (SELECT *, eq / max(eq) OVER {so_far} - 1 AS dd FROM e),
+k AS (SELECT series_id, max(c) AS longest_losing_streak FROM (SELECT series_id, island, count(*) AS c FROM e WHERE r < 0 GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT series_id, count(*) AS total_trades, {', '.join(f'{v} AS {c}' for c, v in perf.items())} FROM q GROUP BY 1), h AS (SELECT *, CASE WHEN coverage_days > 0 THEN pow(1 + total_return, 365.0 / coverage_days) - 1 END AS cagr FROM g),
+m AS (SELECT *, cagr / nullif(abs(max_drawdown), 0) AS calmar, coalesce(cagr >= 0.3, FALSE) AS meets_target, abs(max_drawdown) <= 0.2 AS within_drawdown FROM h)
+SELECT series_id, total_trades, {_rounded({c: c for c in (*perf, 'cagr', 'calmar')}, 4)}, meets_target, within_drawdown, CASE WHEN coverage_days >= 30 AND total_trades >= 30 THEN 'RESEARCH_METRICS_READY' ELSE 'RESEARCH_ONLY_INSUFFICIENT_SAMPLE' END AS status, coalesce(longest_losing_streak, 0) AS longest_losing_streak,
+round(coalesce(cagr, -1) - 3.0 * greatest(0.0, abs(max_drawdown) - 0.2) + 0.10 * coalesce(profit_factor, 0) + 0.05 * win_rate + CASE WHEN meets_target AND within_drawdown THEN 0.5 ELSE 0 END - CASE WHEN total_trades < 30 THEN 0.2 ELSE 0 END, 4) + 0.0 AS score FROM m LEFT JOIN k USING (series_id)""",
+        "trade_groups": f"{taken} SELECT series_id, side, count(*) AS trades, {_rounded({'avg_net_bps': 'avg(net_bps)', 'win_rate': 'avg(CAST(net_bps > 0 AS INT))', 'total_slot_return': 'sum(net_bps / 1e4 * 0.00001)'}, 4)} FROM t GROUP BY 1, 2",
         "names_read": """WITH p(i, source, location, seconds, year, label) AS (VALUES (0, 'binance_spot', 'raw', 300, 105120.0, '5min'), (1, 'bybit_linear', 'processed', 14400, 2190.0, '4h'), (2, 'mine', 'custom_timeframes', 259200, 121.666667, '3D'), (3, NULL, 'logs', NULL, 365.0, NULL), (4, 'desk', 'unknown', 30, 1051200.0, '30s'))
 SELECT n_nationkey, source, location, CAST(seconds AS BIGINT) AS seconds, CAST(year AS DOUBLE) AS bars_a_year, label, CAST(n_nationkey AS INTEGER) AS horizon FROM nation JOIN p ON n_nationkey % 5 = i""",
         "local_times": f"WITH {b} SELECT series_id, timestamp_utc_ms, strftime(make_timestamp(timestamp_utc_ms * 1000 + 14400000000), '%Y-%m-%d %H:%M:%S') AS local_time, timestamp_utc_ms AS back_ms FROM bars",
