@@ -6,6 +6,10 @@ side is small and goes to the tasks in blocks of bounded size. A region of a
 text that holds at least ``threshold`` of an item's windows is a hit if each
 slot is filled alike wherever the item repeats it, so that a question with
 other numbers or names is caught, and chance likeness isn't.
+
+A capital at a sentence's start may be a name or not. Windows that hold one are
+looked up with it as a word, and as a name for the items that give no hit so;
+then only windows count in which its fillers agree with all others.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ class Tokens:
         self.n = len(self.starts)
         if not self.n:
             self.plain = self.typed = np.empty(0, np.uint64)
-            self.slot = np.empty(0, bool)
+            self.slot = self.maybe = np.empty(0, bool)
             return
         pw, inv = _power_tables(len(a) + 1)
         sums = np.zeros(len(a) + 1, np.uint64)
@@ -72,6 +76,7 @@ class Tokens:
         self.typed = self.plain.copy()
         self.typed[number], self.typed[unit], self.typed[name] = NUM, UNIT, NAME
         self.slot = number | unit | name
+        self.maybe = capital & fresh & ~number & ~unit
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the typed windows, and whether each has more words than slots."""
@@ -85,6 +90,19 @@ class Tokens:
             slots = slots + self.slot[k : k + n]
         return mix64(h), slots * 2 < WINDOW
 
+    def named_windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows that hold a capital at a sentence's start, with it as a name."""
+        n = self.n - WINDOW + 1
+        if n < 1:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        before = np.concatenate(([0], np.cumsum(self.maybe)))
+        at = np.flatnonzero(before[WINDOW:] > before[:n])
+        typed = np.where(self.maybe, NAME, self.typed)
+        h = typed[at] * _MULT[0]
+        for k in range(1, WINDOW):
+            h = h + typed[at + k] * _MULT[k]
+        return at, mix64(h)
+
 
 _NUMBERS = _UNITS = np.empty(0, np.uint64)
 _NUMBERS = Tokens(" ".join(NUMBER_WORDS).encode()).plain
@@ -104,10 +122,13 @@ class ItemIndex:
                 ok = np.ones(len(h), bool)
             at = np.flatnonzero(ok)
             self.usable.append(len(at))
-            hashes.append(h[at])
-            where.append(np.stack([np.full(len(at), k), at], 1))
+            named, g = t.named_windows()
+            ok = np.isin(named, at)
+            hashes += [h[at], g[ok]]
+            where.append(np.stack([np.full(len(at), k), at, np.zeros(len(at), np.int64)], 1))
+            where.append(np.stack([np.full(ok.sum(), k), named[ok], np.ones(ok.sum(), np.int64)], 1))
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        w = np.concatenate(where) if where else np.empty((0, 2), np.int64)
+        w = np.concatenate(where) if where else np.empty((0, 3), np.int64)
         order = np.argsort(h, kind="stable")
         self.where = w[order]
         self.keys, first = np.unique(h[order], return_index=True)
@@ -120,26 +141,59 @@ class ItemIndex:
     def hits(self, text: bytes, threshold: float):
         """(item, share, first word, last word, exact) of the items found."""
         t = Tokens(text)
-        h, _ = t.windows()
-        at = np.flatnonzero(self.there[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
+        if not len(self.keys):
             return
-        k = np.searchsorted(self.keys, h[at])
-        k[k == len(self.keys)] = 0
-        ok = self.keys[k] == h[at]
-        at, k = at[ok], k[ok]
+        h, _ = t.windows()
+        named, g = t.named_windows()
         found: dict[int, list[tuple[int, int]]] = {}
-        for pos, j in zip(at.tolist(), k.tolist(), strict=True):
-            for item, i in self.where[self.first[j] : self.first[j + 1]].tolist():
-                found.setdefault(item, []).append((pos, i))
-        for item, pairs in found.items():
+        either: dict[int, set[tuple[int, int]]] = {}
+        for pos, j in self._met(np.arange(len(h)), h):
+            for item, i, other in self.where[self.first[j] : self.first[j + 1]].tolist():
+                if not other:
+                    found.setdefault(item, []).append((pos, i))
+                either.setdefault(item, set()).add((pos, i))
+        for pos, j in self._met(named, g):
+            for item, i, _ in self.where[self.first[j] : self.first[j + 1]].tolist():
+                either.setdefault(item, set()).add((pos, i))
+        for item, both in either.items():
             need = max(1, int(np.ceil(threshold * self.usable[item] - 1e-9)))
-            if len({i for _, i in pairs}) < need:
+            if len({i for _, i in both}) < need:
                 continue
-            best = self._region(t, item, pairs, need)
+            pairs = found.get(item, [])
+            best = self._region(t, item, pairs, need) if len({i for _, i in pairs}) >= need else None
+            if best is None and len(both) > len(pairs):
+                best = self._region(t, item, self._consistent(t, self.tokens[item], sorted(both), set(pairs)), need)
             if best:
                 yield (item, *best)
 
+    def _met(self, at: np.ndarray, h: np.ndarray):
+        """(place, number of the key) of the hashes that items have."""
+        ok = np.flatnonzero(self.there[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
+        at, h = at[ok], h[ok]
+        k = np.searchsorted(self.keys, h)
+        k[k == len(self.keys)] = 0
+        ok = self.keys[k] == h
+        return zip(at[ok].tolist(), k[ok].tolist(), strict=True)
+
+    @staticmethod
+    def _consistent(t: Tokens, own: Tokens, both, sure: set):
+        """The pairs without those where a sentence's first word isn't filled as most do on nearby diagonals.
+
+        Fillers of surely typed slots count first; a word that only stands at sentences' starts
+        is filled as it is most often.
+        """
+        votes: dict[tuple[int, int], Counter] = {}
+        spots = []
+        for pos, i in both:
+            block = (pos - i) // max(WINDOW, own.n // 4)
+            fill = [(int(own.plain[i + k]), int(t.plain[pos + k]), bool(own.slot[i + k] and t.slot[pos + k])) for k in range(WINDOW) if own.slot[i + k] or own.maybe[i + k]]
+            spots.append((block, fill))
+            for a, b, certain in fill:
+                for near in (block - 1, block, block + 1):
+                    votes.setdefault((near, a), Counter())[b] += 1000 if certain else 1
+        chosen = {x: c.most_common(1)[0][0] for x, c in votes.items()}
+        return [p for p, (block, fill) in zip(both, spots, strict=True) if p in sure or all(certain or chosen[block, a] == b for a, b, certain in fill)]
+
     def _region(self, t: Tokens, item: int, pairs, need: int):
         """The region with most of the item's windows whose slots agree."""
         own = self.tokens[item]
@@ -163,6 +217,7 @@ class ItemIndex:
     def _agrees(t: Tokens, own: Tokens, region):
         """None if one filler of the item stands for two; else whether all fillers are the item's own."""
         fill: dict[int, int] = {}
+        same = True
         # a window that stands twice in the item pairs its slots with both; the nearest diagonal counts
         diagonal = Counter(pos - i for pos, i in region).most_common(1)[0][0]
         nearest: dict[int, tuple[int, int]] = {}
@@ -176,7 +231,9 @@ class ItemIndex:
                     a, b = int(own.plain[i + k]), int(t.plain[pos + k])
                     if fill.setdefault(a, b) != b:
                         return None
-        return all(a == b for a, b in fill.items())
+                elif own.maybe[i + k]:
+                    same &= bool(own.plain[i + k] == t.plain[pos + k])
+        return same and all(a == b for a, b in fill.items())
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_mb: int = 32) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from barloom.llm import near_copies
+from barloom.llm import decontamination, near_copies
 
 DATA = "/root/testdata/sf0.01"
 
@@ -67,3 +67,17 @@ def test_chains_and_bridges_of_near_copies(spark):
     rows = [texts[k] for k in order] + [words(240, 4)]
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(spark, rows)).collect()}
     assert got == components(list(enumerate(rows))) and set(got.values()) == {0, 8}
+
+
+def test_other_names_at_sentence_starts(spark):
+    item = "Tom has 3 apples. Tom buys 4 more apples from the market. How many apples does Tom have in total at the end of the day?"
+    only = "Tom has 3 red apples in a basket. Tom buys 4 more apples from the market. How many apples are there in total at the end?"
+    bench = spark.createDataFrame([(1, item), (2, only)], "item_id long, text string")
+
+    def other(text, name="Anna"):
+        return text.replace("Tom", name).replace("3", "7").replace("4", "9")
+
+    mixed = other(item).replace("Anna buys", "Carl buys").replace("does Anna", "does Bert").replace("from the market", "from a shop")
+    texts = [item, other(item), words(40) + ". " + other(only) + " " + words(20, 2), mixed, words(60, 3)]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontamination.find(docs(spark, texts), bench).collect()}
+    assert got == {(0, 1): True, (1, 1): False, (2, 2): False}
