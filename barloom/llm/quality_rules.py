@@ -2,8 +2,10 @@
 
 Counts are taken once per document. Mergeable quantile sketches
 (``percentile_approx``, partial aggregates merged over the cluster) per language
-and source, per language and over all documents give each group its own fences;
-a join brings them back to the documents, which are then filtered.
+and source, per language and over all documents give each group its own fences
+from its own tails, with no fixed cutoff or floor; a small group's fences are
+drawn towards its language's, and those towards the fences of all documents. A
+join brings them back to the documents, which are then filtered.
 """
 
 from __future__ import annotations
@@ -18,8 +20,15 @@ from .common import raw_texts, slices
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
 _DROP_SYMBOLS = bytes(c for c in range(256) if c not in SYMBOLS)
-#: Ratio, and the least distance of its fence from the median: spreads below it tell nothing.
-RULES = (("symbol_ratio", 0.10), ("dup_line_ratio", 0.30), ("repeat_ratio", 0.30), ("word_chars_mean", 6.0))
+#: Reason, ratio, tail level of its sketch, and by how many distances of tail and median the fence lies beyond the tail.
+#: Repeats are rare and have long tails, so that their fence is the far tail itself.
+RULES = (
+    ("symbol_ratio", "symbol_ratio", 0.90, 3.0),
+    ("dup_line_ratio", "dup_line_ratio", 0.995, 0.0),
+    ("repeat_ratio", "repeat_ratio", 0.995, 0.0),
+    ("word_chars_high", "word_chars_mean", 0.90, 1.5),
+    ("word_chars_low", "word_chars_mean", 0.10, 1.5),
+)
 
 
 def repeated_words(words: list[bytes], window: int = 3) -> int:
@@ -83,53 +92,59 @@ def base_failed(min_words: int = 50) -> Column:
 
 
 def _ratios(df: DataFrame) -> DataFrame:
+    """The ratios; symbols are counted from one, as a short text's single symbol tells less than a long one's many."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return df.withColumns({
-        "symbol_ratio": F.col("n_symbols") / words,
+        "symbol_ratio": (F.col("n_symbols") + 1) / (F.col("n_words") + 1).cast("double"),
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
         "repeat_ratio": F.col("n_repeat_words") / words,
         "word_chars_mean": F.col("word_chars") / words,
     })
 
 
-def _fences(rows: DataFrame, by: list[str], accuracy: int, reach: float) -> DataFrame:
-    """Upper fence of each ratio, and the lower one of the word length, from one sketch each."""
-    sketch = [F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).alias(r) for r, _ in RULES]
-    q = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sketch)
-    fence = lambda r, least: F.col(r)[1] + F.greatest(F.lit(least), F.lit(reach) * (F.col(r)[2] - F.col(r)[1]))
-    low = F.col("word_chars_mean")[1] - F.greatest(F.lit(3.0), F.lit(reach) * (F.col("word_chars_mean")[1] - F.col("word_chars_mean")[0]))
-    return q.select(*by, "n", F.struct(*(fence(r, least).alias(r) for r, least in RULES), low.alias("word_chars_low")).alias("fence"))
+def fences(rows: DataFrame, by: list[str], accuracy: int = 10_000, rules=RULES) -> DataFrame:
+    """Rows and a fence of each rule for every group, from one sketch a rule: the tail, and beyond it in proportion to its distance from the median."""
+    q = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(r, F.array(F.lit(0.5), F.lit(level)), accuracy).alias(name) for name, r, level, _ in rules))
+    beyond = [(F.col(name)[1] + F.lit(reach) * (F.col(name)[1] - F.col(name)[0])).alias(name) for name, _, _, reach in rules]
+    return q.select(*by, "n", F.struct(*beyond).alias("fence"))
 
 
-def judge(measured: DataFrame, lang: str = "lang", source: str = "source", min_group: int = 50, accuracy: int = 10_000, reach: float = 4.0) -> DataFrame:
-    """Adds base_failed, kept and reasons to ``measure``'s rows.
+def judge(measured: DataFrame, lang: str = "lang", source: str = "source", weight: float = 100.0, accuracy: int = 10_000, rules=RULES) -> DataFrame:
+    """Adds base_failed, kept and reasons to ``measured``'s rows.
 
-    Null languages and sources are groups of their own. A group of fewer than
-    ``min_group`` rows takes its language's fences, and a small language those of
-    all documents. A value on the fence passes. ``measured`` is read several
+    A group's fence is its own, weighed by its rows, and its language's, weighed
+    as ``weight`` rows; the language's is drawn to that of all documents in the
+    same way. Rows that fail the base rules make no fences. Null languages and
+    sources are groups of their own; a group without a fence of its own takes its
+    language's, a language without one that of all. A value on the fence passes.
+    Repeated rows count as often as they stand. ``measured`` is read several
     times; pass a materialised one. An empty table gives an empty result.
     """
     rows = _ratios(measured)
     ok = rows.where(~base_failed())
-    fine = _fences(ok, [lang, source], accuracy, reach)
-    coarse = _fences(ok, [lang], accuracy, reach)
+    fine, coarse = fences(ok, [lang, source], accuracy, rules), fences(ok, [lang], accuracy, rules)
     # of all documents: one row, which goes on as literals
-    whole = _fences(ok, [], accuracy, reach).select("fence.*").first()
-    everything = F.struct(*(F.lit(v).cast("double").alias(k) for k, v in whole.asDict().items()))
+    whole = fences(ok, [], accuracy, rules).select("fence.*").first()
     # all fences of the groups first: a small table, one row a group
     groups = measured.groupBy(lang, source).agg(F.count(F.lit(1)).alias("_n"))
     f, c = fine.alias("f"), coarse.alias("c")
+
+    def drawn(n, own, parent):
+        return F.coalesce((n * own + F.lit(weight) * parent) / (n + F.lit(weight)), parent)
+
+    every = {name: F.lit(whole[name]).cast("double") for name, *_ in rules}
+    by_lang = {name: drawn(F.col("c.n"), F.col(f"c.fence.{name}"), every[name]) for name in every}
     wide = (
         groups.alias("g")
         .join(f, F.col(f"g.{lang}").eqNullSafe(F.col(f"f.{lang}")) & F.col(f"g.{source}").eqNullSafe(F.col(f"f.{source}")), "left")
         .join(c, F.col(f"g.{lang}").eqNullSafe(F.col(f"c.{lang}")), "left")
-        .select(
-            F.col(f"g.{lang}").alias("_lang"), F.col(f"g.{source}").alias("_source"),
-            F.when(F.col("f.n") >= min_group, F.col("f.fence")).when(F.col("c.n") >= min_group, F.col("c.fence")).otherwise(everything).alias("_fence"),
-        )
-    )
+        .select(F.col(f"g.{lang}").alias("_lang"), F.col(f"g.{source}").alias("_source"), F.struct(*(drawn(F.col("f.n"), F.col(f"f.fence.{name}"), by_lang[name]).alias(name) for name in every)).alias("_fence"))
+    )
     out = rows.join(wide, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
-    hits = [F.when(F.col(r) > F.col(f"_fence.{r}"), F.lit(r)) for r, _ in RULES]
-    hits.append(F.when(F.col("word_chars_mean") < F.col("_fence.word_chars_low"), F.lit("word_chars_low")))
+    hits = []
+    for name, r, level, _ in rules:
+        fence = F.col(f"_fence.{name}")
+        # tails that differ by rounding alone are alike
+        hits.append(F.when(F.col(r) > fence + 1e-12 if level > 0.5 else F.col(r) < fence - 1e-12, F.lit(name)))
     reasons = F.array_compact(F.array(*hits))
     return out.withColumn("base_failed", base_failed()).withColumn("reasons", reasons).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop("_lang", "_source", "_fence")

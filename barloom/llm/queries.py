@@ -113,16 +113,15 @@ array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambd
 CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(c, 0.0) END AS score FROM p LEFT JOIN m USING (n)"""
 
 
-def _rules_sql(min_group: int = 50, reach: float = 4.0) -> str:
+def _rules_sql(weight: float = 100.0) -> str:
     """Exact quantiles, which the sketches are as long as a group has no more rows than their accuracy (10000)."""
-    ratios = [r for r, _ in quality_rules.RULES]
-    ratio = {"symbol_ratio": "n_symbols / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "word_chars_mean": "word_chars / greatest(n_words, 1)"}
-    q = ", ".join(f"quantile_disc({r}, {p}) AS {r}_{i}" for r in ratios for i, p in enumerate((0.25, 0.5, 0.75)))
-    fences = [f"{r}_1 + greatest({least}, {reach} * ({r}_2 - {r}_1)) AS {r}_f" for r, least in quality_rules.RULES]
-    fences = ", ".join([*fences, f"word_chars_mean_1 - greatest(3.0, {reach} * (word_chars_mean_1 - word_chars_mean_0)) AS low_f"])
-    names = [*(f"{r}_f" for r in ratios), "low_f"]
-    level = lambda by: f"SELECT *, {fences} FROM (SELECT {by}count(*) AS n, {q} FROM ok{' GROUP BY ' + by.rstrip(', ') if by else ''})"
-    pick = ", ".join(f"CASE WHEN g.n >= {min_group} THEN g.{c} WHEN c.n >= {min_group} THEN c.{c} ELSE e.{c} END AS {c}" for c in names)
+    rules = quality_rules.RULES
+    ratio = {"symbol_ratio": "(n_symbols + 1) / (n_words + 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "word_chars_mean": "word_chars / greatest(n_words, 1)"}
+    own = ", ".join(f"quantile_disc({r}, {level}) * (1 + {reach}) - {reach} * quantile_disc({r}, 0.5) AS {name}_f" for name, r, level, reach in rules)
+    level = lambda by: f"SELECT {by}count(*) AS n, {own} FROM ok{' GROUP BY ' + by.rstrip(', ') if by else ''}"
+    drawn = lambda t, name, parent: f"coalesce(({t}.n * {t}.{name}_f + {weight} * {parent}) / ({t}.n + {weight}), {parent})"
+    pick = ", ".join(f"{drawn('g', name, drawn('c', name, f'e.{name}_f'))} AS {name}_f" for name, *_ in rules)
+    hits = ", ".join(f"CASE WHEN {r} {'> ' + name + '_f + 1e-12' if level > 0.5 else '< ' + name + '_f - 1e-12'} THEN '{name}' END" for name, r, level, _ in rules)
     word = r"'[^\x20\x09-\x0D]+'"
     return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),
 o AS (SELECT id, i, w[i:i + 2] AS k FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -135,7 +134,7 @@ FROM d LEFT JOIN r ON d.id = r.id LEFT JOIN u ON d.id = u.id),
 a AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in ratio.items())}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 ok AS (SELECT * FROM a WHERE NOT base_failed), g AS ({level('lang, source, ')}), c2 AS ({level('lang, ')}), e AS ({level('')}),
 f AS (SELECT a.*, {pick} FROM a LEFT JOIN g ON a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source LEFT JOIN c2 c ON a.lang IS NOT DISTINCT FROM c.lang CROSS JOIN e),
-v AS (SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {r} > {r}_f THEN '{r}' END" for r in ratios)}, CASE WHEN word_chars_mean < low_f THEN 'word_chars_low' END) AS reasons FROM f)
+v AS (SELECT *, concat_ws(',', {hits}) AS reasons FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND reasons = '' AS kept, reasons FROM v"""
 
 

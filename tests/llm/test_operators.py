@@ -1,6 +1,7 @@
 """Results, edge cases and brute-force comparisons of the training-data operators."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -336,6 +337,46 @@ def test_rules_match_brute_force(spark, real):
         assert r.base_failed == (len(w) < 50 or 100 * len(twice) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def fence_by_hand(values, level, reach):
+    """The smallest value that at least the level's share of all values doesn't pass, and beyond it."""
+    v = sorted(values)
+    at = lambda p: v[max(0, math.ceil(p * len(v) - 1e-9) - 1)]
+    return at(level) + reach * (at(level) - at(0.5))
+
+
+def test_fences_and_verdicts_match_brute_force(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality_rules.judge(quality_rules.measure(real).cache()).collect()
+    ok = [r for r in got if not r.base_failed]
+    seen = collections.defaultdict(set)
+    for r in ok:
+        want = []
+        for name, ratio, level, reach in quality_rules.RULES:
+            fence = fence_by_hand([x[ratio] for x in ok], level, reach)
+            for group in ([x for x in ok if x.lang == r.lang], [x for x in ok if (x.lang, x.source) == (r.lang, r.source)]):
+                own = fence_by_hand([x[ratio] for x in group], level, reach)
+                fence = (len(group) * own + 100 * fence) / (len(group) + 100)
+            seen[name].add(round(fence, 9))
+            if (r[ratio] > fence + 1e-12) if level > 0.5 else (r[ratio] < fence - 1e-12):
+                want.append(name)
+        assert r.reasons == want and r.kept == (not want)
+    assert all(len(v) > 10 for v in seen.values())  # groups have fences of their own
+
+
+def test_a_groups_fence_moves_with_its_data(spark):
+    def rows(symbols):
+        plain = [(k, words(100, k), "en", "calm") for k in range(300)]
+        return plain + [(300 + k, words(100, k) + " #" * (symbols * (k % 7)), "en", "code") for k in range(300)]
+
+    def fence(symbols):
+        df = quality_rules.measure(spark.createDataFrame(rows(symbols), "doc_id long, text string, lang string, source string"))
+        found = quality_rules.fences(quality_rules._ratios(df), ["source"]).collect()
+        return {r.source: r.fence.symbol_ratio for r in found}
+
+    few, many = fence(1), fence(4)
+    assert few["calm"] == many["calm"] < few["code"] < many["code"]
+
+
 def test_pipeline_runs_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "sentencepiece"]
     out = corpus_pipeline.run(spark, DATA)
