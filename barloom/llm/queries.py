@@ -91,22 +91,25 @@ CAST(sum({fixed} + {n('role', marks + '|' + re.escape(t.after_role))} + {n('text
 
 
 def _license_sql(threshold: float = 0.9) -> str:
-    """Every line against every template, which the filters of the join spare."""
+    """Every line and every run of lines against every template, which the filters of the join spare."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rows = []
     for label, text in license_scan.TEMPLATES:
         own = sorted({w.decode() for w in license_scan.folded(text.encode()).split()})
-        rows.append(f"({_quoted(label)}, [{', '.join(map(_quoted, own))}], {math.ceil(threshold * len(own) - 1e-9)})")
+        rows.append(f"({_quoted(label)}, [{', '.join(map(_quoted, own))}], {math.ceil(threshold * len(own) - 1e-9)}, {2 * len(license_scan.folded(text.encode()).split())})")
     places = []
     for phrase, label in license_scan.PHRASES:
         ws = phrase.split()
         places.append(f"list_transform(list_filter(range(1, len(w) - {len(ws) - 2}), lambda i: w[i:i + {len(ws) - 1}] = [{', '.join(map(_quoted, ws))}]), lambda i: {{'k': i - 1, 'label': {_quoted(label)}}})")
-    return f"""WITH t(label, own, need) AS (VALUES {', '.join(rows)}),
+    return f"""WITH t(label, own, need, most) AS (VALUES {', '.join(rows)}),
 d AS (SELECT doc_id, {low} AS low, regexp_extract_all({low}, {word}) AS w, row_number() OVER () AS n FROM documents),
 p AS (SELECT n, doc_id, len(w) AS n_words, list_concat({', '.join(places)}) AS places FROM d),
-l AS (SELECT n, list_distinct(regexp_extract_all(line, {word})) AS w FROM (SELECT n, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT n, list(DISTINCT label) AS labels, max(len(list_intersect(w, own)) / len(own)) AS c FROM l, t WHERE len(w) >= need AND len(list_intersect(w, own)) >= need GROUP BY n)
+s AS (SELECT n, unnest(string_split(low, chr(10))) AS line, generate_subscripts(string_split(low, chr(10)), 1) AS k FROM d),
+r AS (SELECT n, k, regexp_extract_all(line, {word}) AS w FROM s),
+l AS (SELECT *, sum(len(w)) OVER (PARTITION BY n ORDER BY k) AS upto, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY k) AS para FROM r),
+u AS (SELECT a.n, a.k, t.label, t.own, t.need, flatten(list(b.w)) AS w FROM l a, t, l b WHERE len(a.w) > 0 AND len(list_intersect(a.w, own)) > 0 AND b.n = a.n AND b.k >= a.k AND b.para = a.para AND (b.k = a.k OR b.upto - a.upto + len(a.w) <= most) GROUP BY a.n, a.k, t.label, t.own, t.need),
+m AS (SELECT n, list(DISTINCT label) AS labels, max(len(list_intersect(list_distinct(w), own)) / len(own)) AS c FROM u WHERE len(list_intersect(list_distinct(w), own)) >= need GROUP BY n)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(list_transform(places, lambda x: x.k)) AS first_word, list_max(list_transform(places, lambda x: x.k)) AS last_word,
 array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x.label))), ',') AS base_labels,
 array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda x: x.label), coalesce(labels, [])))), ',') AS labels,

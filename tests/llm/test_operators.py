@@ -4,6 +4,8 @@ import collections
 import math
 import random
 import re
+import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -185,12 +187,43 @@ def test_license_matches_brute_force(spark):
                 tokens = set(license_scan.folded(t.encode()).split())
                 if len(tokens & own) >= 0.6 * len(tokens) - 1e-9:
                     want.add((k, label, round(len(tokens & own) / len(tokens), 9)))
-        assert {(b.line, b.label, round(b.containment, 9)) for b in row.blocks} == want
+        assert {(b.line, b.label, round(b.containment, 9)) for b in row.blocks if b.line == b.last_line} == want
+        found = {b.label for b in row.blocks}
+        for label, t in license_scan.TEMPLATES:
+            tokens, most, split = set(license_scan.folded(t.encode()).split()), 2 * len(license_scan.folded(t.encode()).split()), [x.encode() for x in text.split("\n")]
+            for k in range(len(split)):
+                own, n = set(), 0
+                for x in split[k:]:
+                    ws = license_scan.folded(x).split()
+                    n += len(ws)
+                    if n > most or not ws:
+                        break
+                    own |= set(ws)
+                if len(tokens & own) >= 0.6 * len(tokens) - 1e-9:
+                    assert label in found
         low = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
         places = [i for p, _ in license_scan.PHRASES for i in range(len(low)) if low[i : i + len(p.split())] == p.split()]
         assert (row.n_words, row.n_base, row.first_word, row.last_word) == (len(low), len(places), min(places, default=None), max(places, default=None))
 
 
+def test_wrapped_notices_are_found_where_they_stand(spark):
+    notice = next(t for label, t in license_scan.TEMPLATES if label == "bsd")
+    wrapped = textwrap.wrap(notice, 40)
+    near = ["Some code of mine.", *wrapped, "And on it goes for a while."]
+    apart = [x for line in wrapped for x in (line, "")]
+    got = {r.doc_id: r.blocks for r in license_scan.scan(docs(spark, ["\n".join(near), "\n".join(apart), " ".join(wrapped)])).collect()}
+    assert [(b.label, b.line, b.last_line) for b in got[0]] == [("bsd", 1, len(wrapped))] and not got[1]
+    assert [(b.label, b.line, b.last_line) for b in got[2]] == [("bsd", 0, 0)]
+
+
+def test_long_texts_of_phrases_take_time_in_proportion(spark):
+    text = b"cc by " * 3_300_000  # 20 MB
+    ready = [(p.encode().split()[0], (b" " + p.encode() + b" ", label)) for p, label in license_scan.PHRASES]
+    began = time.perf_counter()
+    n, places, first, last, labels = license_scan.phrase_places(text, ready)
+    assert (n, places, first, last, labels) == (6_600_000, 3_300_000, 0, 6_599_998, {"cc-by"}) and time.perf_counter() - began < 30
+
+
 def test_compact_windows_match_definition():
     rng = np.random.default_rng(0)
     for t in range(100):
