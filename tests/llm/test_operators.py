@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -174,6 +175,38 @@ def test_chat_round_trip_and_machine(spark):
     assert chat_format.digest(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_digest_of_shuffled_turns(spark):
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", f"{c} {k}") for c in range(40) for k in range(4)]
+    turns = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = sorted(chat_format.digest(turns).collect())
+    mixed = turns.repartition(7).cache()
+    assert sorted(chat_format.digest(mixed, ordered=False).collect()) == want and len(want) == 40
+    with pytest.raises(Exception, match="should: pass ordered=False"):
+        chat_format.digest(mixed).collect()
+
+
+def test_reader_takes_long_texts_and_refuses_others():
+    t = chat_format.Template()
+    (esc, esc_role), (read, undo) = chat_format.escaper(t), chat_format.reader(t)
+    r = random.Random(1)
+    parts = [t.open, t.close, t.close.strip(), "\\", "\n", "### User:", "a", " "]
+    for _ in range(300):
+        role, text = ("".join(r.choice(parts) for _ in range(r.randint(0, 6))) for _ in range(2))
+        whole = t.open + esc_role(role) + t.after_role + esc(text) + t.close
+        assert read(whole) == (role, text) and undo(esc(text)) == text
+    for bad in ("", "x", t.open + "user", t.open + "user\nabc", t.open + "user\nabc" + t.close + "x", t.open + "user\nabc\\" + t.close):
+        with pytest.raises(ValueError):
+            read(bad)
+    for long in ("a word and another " * 1_100_000, "\\<turn> " * 2_500_000):  # 20 MB
+        whole = t.open + "user" + t.after_role + esc(long) + t.close
+        began = time.perf_counter()
+        tracemalloc.start()
+        assert read(whole) == ("user", long)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30 * len(long) and time.perf_counter() - began < 60
+
+
 def test_license_matches_brute_force(spark):
     r = random.Random(4)
     pool = [w.decode() for _, t in license_scan.TEMPLATES for w in license_scan.folded(t.encode()).split()]
@@ -360,6 +393,23 @@ def test_shards_are_even_and_gapless(spark, real):
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
 
 
+def test_splitters_and_parts_match_the_law(spark):
+    rows = [(None, "same")] * 400 + [(7, "same")] * 200 + [(k, words(3 + k % 50, k)) for k in range(400)] + [(1000, words(4000, 9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df, 5, groups=4, per_range=8).collect()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), len(t) + 16, zlib.crc32(t.encode())) for i, t in rows)
+    # by the law, whatever the splitters: middles of records in the whole order fall in their shard's part of all bytes
+    total, before = sum(r.size for r in got), 0
+    for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+        assert r.shard == min(4, 5 * (2 * before + r.size) // (2 * total))
+        before += r.size
+
+
+def test_sharding_uses_no_python_worker(spark, real):
+    plan = sharding.shard(real, 40)._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
 def test_rules_match_brute_force(spark, real):
     for r in quality_rules.judge(quality_rules.measure(real)).join(real.select("doc_id", "text"), "doc_id").collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text)
