@@ -39,6 +39,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until the table has no column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """The table with columns c0, c1 and so on, for functions over whole rows, which can't take names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def own_column(name: str):
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def id_fold(col: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)

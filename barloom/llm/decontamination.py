@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, mix64, raw_texts, slices
+from .common import _power_tables, by_place, mix64, raw_texts, slices
 
 WINDOW = 5
 NUM, NAME, UNIT = (np.uint64(0x4E554D0000000001), np.uint64(0x4E414D4500000002), np.uint64(0x554E495400000003))
@@ -304,15 +304,16 @@ def _search(index: ItemIndex, threshold: float, id_col: str):
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, block_mb: int = 32) -> DataFrame:
     """The documents without a hit, all columns kept; null and empty texts stay. No shuffle."""
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
 
     def keeper(index):
         def run(batches):
             for b in slices(batches):
-                yield b.filter(pa.array([not _best(index, t, threshold) for t in raw_texts(b.column(at))], pa.bool_()))
+                kept = b.filter(pa.array([not _best(index, t, threshold) for t in raw_texts(b.column(at))], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
         return run
 
     for index in _indexes(benchmark, item_id, item_text, block_mb):
-        docs = docs.mapInArrow(keeper(index), docs.schema)
+        docs = by_place(docs).mapInArrow(keeper(index), docs.schema)
     return docs

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, slices, word_hashes
+from .common import by_place, raw_texts, slices, word_hashes
 
 _BLOCK = 1 << 20
 
@@ -173,10 +173,11 @@ def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col:
 
 def keep(df: DataFrame, model: QualityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that score at least ``threshold``. No shuffle."""
-    scores, at = _scorer(model), df.columns.index(text_col)
+    scores, at, names = _scorer(model), df.columns.index(text_col), df.columns
 
     def run(batches):
         for b in slices(batches):
-            yield b.filter(pa.array(scores(b.column(at)) >= threshold))
+            kept = b.filter(pa.array(scores(b.column(at)) >= threshold))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return by_place(df).mapInArrow(run, df.schema)

@@ -3,27 +3,35 @@
 Tokens are five-word shingles. For each of several hash functions, a Cartesian
 tree over the hashed tokens of a text gives its compact windows: all subsequences
 within (l, r) that hold c have the hash of c as their minimum. Only windows wide
-enough for a passage are made. Windows with the same minimum meet, are joined by
-their intervals, and documents that meet by enough hash functions are verified
-by the tokens themselves.
+enough for a passage are made. Windows with the same minimum meet and are joined
+by their intervals: each with the first that has the same token ten places before,
+and the first that has the same ten places after. What meets is verified by the
+texts themselves.
+
+A window need not find its passage in the first holder of its context, which may
+hold a fragment only. So where a text and that holder part, the windows meet
+again by the place and the token they part at, which all that share more with
+each other than with the holder have in common, and the first of those is the
+next holder; and so on until no two part alike. Each round is linear in the
+windows left, and holders' ids rise from round to round.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, raw_texts, slices, word_hashes
+from .common import by_place, cut, mix64, own_column, raw_texts, slices, word_hashes
 
 SHINGLE = 5
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917)]
 _MULT = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(SHINGLE)]
 #: Shingles to either side of a minimum that tell contexts apart.
 _ASIDE = 10
+#: Shingles that may shift between two runs of a passage.
+_SHIFT = 10
 
 
 def shingle_hashes(text: bytes) -> np.ndarray:
@@ -70,19 +78,20 @@ def compact_windows(x: np.ndarray, width: int) -> tuple[list[int], list[int], li
     return [left[k] for k in keep], [cs[k] for k in keep], [right[k] for k in keep]
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: int) -> DataFrame:
-    """key, doc, at (c, hash function, tokens to the left and right up to width), ctx."""
+def _windows(docs: DataFrame, width: int, hashes: int) -> DataFrame:
+    """key, doc, at (c, hash function, tokens to the left and right up to width), ctx of the rows (n, text)."""
 
     def run(batches):
         for b in slices(batches, 8192):
             ids = b.column(0).to_pylist()
-            keys, doc, at, ctx = [], [], [], []
+            keys, doc, at, ctx, around = [], [], [], [], []
             for d, text in zip(ids, raw_texts(b.column(1)), strict=True):
                 if d is None or not text:
                     continue
                 s = shingle_hashes(text)
                 if len(s) < width:
                     continue
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)))
                 for k in range(hashes):
                     x = mix64(s ^ _SEEDS[k])
                     left, c, right = (np.array(v, np.int64) for v in compact_windows(x, width))
@@ -92,70 +101,69 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
                     before = np.where(c >= _ASIDE, s[np.maximum(c - _ASIDE, 0)] >> np.uint64(32), d & 0xFFFFFFFF)
                     after = np.where(c + _ASIDE < len(s), s[np.minimum(c + _ASIDE, len(s) - 1)] >> np.uint64(32), d & 0xFFFFFFFF)
                     ctx.append((before.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64))
+                    around.append(mix64(sums[np.minimum(c + width, len(s))] - sums[c]) - (sums[c] - sums[np.maximum(c - width + 1, 0)]))
             if keys:
-                cols = _met_here([np.concatenate(v) for v in (keys, doc, at, ctx)], width)
+                cols = _met_here(*(np.concatenate(v) for v in (keys, doc, at, ctx, around)))
                 for i in range(0, len(cols[0]), 50_000):
                     part = [v[i : i + 50_000] for v in cols]
                     yield pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2]), pa.array(part[3].view(np.int64))], names=["key", "doc", "at", "ctx"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_col).mapInArrow(run, "key long, doc long, at long, ctx long")
+    return docs.mapInArrow(run, "key long, doc long, at long, ctx long")
+
+
+def _seed(c, r, k, alike):
+    """Places in both texts, whether a context agrees, and the hash function, in one number."""
+    return (c << 33) | (r << 4) | (alike << 3) | k
+
+
+def _met_here(key, doc, at, ctx, around) -> list[np.ndarray]:
+    """Windows that are alike as far as a passage can reach to both sides meet within a batch.
+
+    What one of them shares with any other text the first does too, so that only
+    the first goes on; a link (at below 0, its source in ctx) goes in the others' place.
+    """
+    order = np.lexsort((at, doc, around, key))
+    key, doc, at, ctx, around = (v[order] for v in (key, doc, at, ctx, around))
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (around[1:] != around[:-1])))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    gone = doc != doc[first]
+    if gone.any():
+        i, r = np.flatnonzero(gone), first[gone]
+        seeds = _seed(at[i] >> 24, at[r] >> 24, at[i] >> 20 & 15, 1)
+        spread = mix64(doc[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc[r].astype(np.uint64))
+        key, doc, at, ctx = np.concatenate((key[~gone], spread)), np.concatenate((doc[~gone], doc[i])), np.concatenate((at[~gone], -1 - seeds)), np.concatenate((ctx[~gone], doc[r].astype(np.uint64)))
+    return [key, doc, at, ctx]
 
 
 class _Meeting:
-    """Windows of one key, by document: each goes with the first that has the same shingle ten places before or after.
+    """Windows of one key, by document: each goes with the first that has the same shingle ten places before, and after.
 
-    Only if none has, it goes with the key's first. So a phrase that stands in
-    many passages doesn't hide the repeated ones. Held are the first window and
-    one of each context.
+    Only if none has, it goes with the key's first, and then one hash function
+    alone makes no pair. So a phrase that stands in many passages doesn't hide the
+    repeated ones. Held are the first window and one of each context.
     """
 
     def __init__(self, width: int):
         self.width, self.seen, self.first = width, {}, None
 
-    def add(self, docs: list[int], ats: list[int], ctxs: list[int], out: list) -> list[int]:
-        """Appends links (doc, src, seed) and returns which windows aren't linked to one with their context."""
-        own, seen, width = [], self.seen, self.width
-        for i, (d, a, x) in enumerate(zip(docs, ats, ctxs, strict=True)):
+    def add(self, docs: list[int], ats: list[int], ctxs: list[int], out: list) -> None:
+        """Appends links (doc, src, seed)."""
+        seen, width = self.seen, self.width
+        for d, a, x in zip(docs, ats, ctxs, strict=True):
             x &= 0xFFFFFFFFFFFFFFFF
-            before, after = x >> 32, (x & 0xFFFFFFFF) | 1 << 32
             me = (d, a)
-            r = min(seen.setdefault(before, me), seen.setdefault(after, me))
-            fresh = r is me
-            if fresh:
-                own.append(i)
-                r = self.first = self.first or me
-            if r[0] != d:
-                ra = r[1]
-                if min(a >> 10 & 1023, ra >> 10 & 1023) + min(a & 1023, ra & 1023) + 1 >= width:
-                    out.append((d, r[0], (a >> 24) << 32 | (ra >> 24) << 3 | (a >> 20 & 15)))
-                elif not fresh:
-                    own.append(i)
-        return own
-
-
-def _met_here(cols: list[np.ndarray], width: int) -> list[np.ndarray]:
-    """Windows that meet within a batch are linked there; a link (at below 0, its source in ctx) goes on in the window's place."""
-    key, doc, at, ctx = (v[np.lexsort((cols[2], cols[1], cols[0]))] for v in cols)
-    bounds = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-    gone, links = np.zeros(len(key), bool), []
-    for i in np.flatnonzero(np.diff(bounds) > 1):
-        a, e = bounds[i], bounds[i + 1]
-        if e - a < 3 and doc[a] == doc[e - 1]:
-            continue
-        own = _Meeting(width).add(doc[a:e].tolist(), at[a:e].tolist(), ctx[a:e].view(np.int64).tolist(), links)
-        gone[a:e] = True
-        gone[a + np.array(own, np.int64)] = False
-    if gone.any():
-        key, doc, at, ctx = (v[~gone] for v in (key, doc, at, ctx))
-    if links:
-        v = np.array(links, np.int64)
-        spread = mix64(v[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v[:, 1].astype(np.uint64))
-        key, doc, at, ctx = np.concatenate((key, spread)), np.concatenate((doc, v[:, 0])), np.concatenate((at, -1 - v[:, 2])), np.concatenate((ctx, v[:, 1].astype(np.uint64)))
-    return [key, doc, at, ctx]
+            r, s = seen.setdefault(x >> 32, me), seen.setdefault((x & 0xFFFFFFFF) | 1 << 32, me)
+            alike = 1
+            if r is me and s is me:
+                r = s = self.first = self.first or me
+                alike = 0
+            for o, ra in (r,) if r is s else (r, s):
+                if o != d and min(a >> 10 & 1023, ra >> 10 & 1023) + min(a & 1023, ra & 1023) + 1 >= width:
+                    out.append((d, o, _seed(a >> 24, ra >> 24, a >> 20 & 7, alike)))
 
 
 def _links(windows: DataFrame, width: int) -> DataFrame:
-    """doc, src, seed (places in both, hash function) of windows that meet, within a batch or here, by key and document."""
+    """doc, src, seed of windows that meet, within a batch or here, by key and document."""
 
     def run(batches):
         last, group = None, None
@@ -185,129 +193,224 @@ def _links(windows: DataFrame, width: int) -> DataFrame:
     return sorted_windows.mapInArrow(run, "doc long, src long, seed long")
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """_id and sig: 16 bits of every shingle's hash, for texts long enough; enough to verify runs of dozens."""
+def _same_until(x: np.ndarray, y: np.ndarray, p: int, q: int, step: int) -> int:
+    """How many tokens agree from x[p] and y[q] on, rightwards (step 1) or leftwards (-1)."""
+    most = min(len(x) - p, len(y) - q) if step > 0 else min(p, q) + 1
+    done, size = 0, 64
+    while done < most:
+        n = min(size, most - done)
+        a, b = p + step * done, q + step * done
+        differs = x[a : a + n] != y[b : b + n] if step > 0 else x[a - n + 1 : a + 1][::-1] != y[b - n + 1 : b + 1][::-1]
+        at = int(differs.argmax())
+        if differs[at]:
+            return done + at
+        done, size = done + n, size * 4
+    return most
+
+
+def _next_run(x: np.ndarray, y: np.ndarray, p: int, q: int, step: int, reach: int) -> tuple[int, int] | None:
+    """The nearest place behind a mismatch at x[p], y[q] where a token agrees, shifted by at most ``_SHIFT``."""
+    n = reach
+    a, b = (x[p : p + n], y[q : q + n]) if step > 0 else (x[max(p - n + 1, 0) : p + 1][::-1], y[max(q - n + 1, 0) : q + 1][::-1])
+    i, j = np.nonzero(a[:, None] == b[None, :])
+    if not len(i):
+        return None
+    cost = np.where(np.abs(i - j) <= _SHIFT, np.maximum(i, j) * 64 + np.abs(i - j), 1 << 30)
+    k = int(cost.argmin())
+    return None if cost[k] == 1 << 30 else (p + step * int(i[k]), q + step * int(j[k]))
+
+
+def _runs_around(x: np.ndarray, y: np.ndarray, c: int, r: int, reach: int) -> list[tuple[int, int, int]]:
+    """(start, end, start in y) of the runs of equal tokens around a seed, each within reach of the next."""
+    left, right = _same_until(x, y, c, r, -1), _same_until(x, y, c, r, 1)
+    if not right:
+        return []
+    runs = [(c - left + 1, c + right, r - left + 1)]
+    while (s := runs[-1])[1] < len(x) and (hit := _next_run(x, y, s[1], s[2] + s[1] - s[0], 1, reach)):
+        runs.append((hit[0], hit[0] + _same_until(x, y, *hit, 1), hit[1]))
+    runs.reverse()
+    while (s := runs[-1])[0] > 0 and s[2] > 0 and (hit := _next_run(x, y, s[0] - 1, s[2] - 1, -1, reach)):
+        n = _same_until(x, y, *hit, -1)
+        runs.append((hit[0] - n + 1, hit[0] + 1, hit[1] - n + 1))
+    return runs[::-1]
+
+
+def _passages_of(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int]], width: int, similarity: float) -> list[tuple[int, int, int, float]]:
+    """The runs joined, from the left, as far as the joined span keeps the similarity and what it gains outweighs its gaps."""
+    starts, ends, at = (np.array(v, np.int64) for v in zip(*runs, strict=True))
+    size, y_ends = ends - starts, at + ends - starts
+    matched = np.concatenate(([0], np.cumsum(size)))
+    # of the tokens m, n of both sides and their common ones c, c >= similarity * (m + n - c)
+    gain = (1 + similarity) * matched[1:] - similarity * (ends + y_ends)
+    start = (1 + similarity) * matched[:-1] - similarity * (starts + at)
+    gaps = np.concatenate(([0], np.cumsum(np.maximum(starts[1:] - ends[:-1], at[1:] - y_ends[:-1]))))
+    worth = matched[1:] - gaps
+    out, i = [], 0
+    while i < len(runs):
+        last = int(np.flatnonzero((gain[i:] >= start[i] - 1e-9) & (worth[i:] >= np.maximum.accumulate(worth[i:])))[-1]) + i
+        s, e, rs, re = int(starts[i]), int(ends[last]), int(at[i]), int(y_ends[last])
+        found = None
+        if e - s >= width:
+            a, b = np.unique(x[s:e]), np.unique(y[rs:re])
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if (j := common / (len(a) + len(b) - common)) >= similarity:
+                found = [(s, e, rs, j)]
+        out += found if found else [(int(starts[k]), int(ends[k]), int(at[k]), 1.0) for k in range(i, last + 1) if size[k] >= width]
+        i = last + 1
+    return out
+
+
+def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], width: int, similarity: float):
+    """Passages of x, (start, end, start in y, Jaccard) in shingles, that y repeats; and where x and y part around the seeds.
+
+    seeds: places in x and in y. A passage is runs of equal tokens that are joined as
+    long as the span's Jaccard similarity suffices. Its cost is in proportion to its
+    length; seeds within a passage found aren't followed again. A seed without 20
+    equal tokens within a passage's width isn't followed: so many has the longer
+    part of the least passage around its edit. Parting places: (c, side, tokens from
+    c, token of x, whether c is in a passage) on each side where x goes on and agrees
+    with y, or is in the passage, for less than a passage's width from the seed.
+    """
+    c, r = (np.array(v, np.int64) for v in zip(*sorted(set(seeds)), strict=True))
+    offsets, mid = np.arange(-(width - 1), width), width - 1
+    out, parts, left = [], [], np.ones(len(c), bool)
+    while left.any():
+        some = np.flatnonzero(left)[:32]
+        left[some] = False
+        i, j = c[some, None] + offsets, r[some, None] + offsets
+        real = (i >= 0) & (i < len(x)) & (j >= 0) & (j < len(y))
+        same = real & (x[np.clip(i, 0, len(x) - 1)] == y[np.clip(j, 0, len(y) - 1)])
+        covered = np.zeros(len(some), bool)
+        for k in np.flatnonzero(same.sum(1) >= (width - SHINGLE) // 2):
+            if covered[k]:
+                continue
+            runs = _runs_around(x, y, int(c[some[k]]), int(r[some[k]]), width // 2)
+            for s, e, rs, jac in _passages_of(x, y, runs, width, similarity) if runs else ():
+                out.append((s, e, rs, jac))
+                left &= (c < s) | (c >= e)
+                covered |= (c[some] >= s) & (c[some] < e)
+        for side, eq in ((0, same[:, mid::-1]), (1, same[:, mid:])):
+            ends = ~eq.all(1) & ~covered
+            n = np.where(ends, eq.argmin(1), width)
+            place = c[some] - n if side == 0 else c[some] + n
+            ok = ends & (n > 0) & (place >= 0) & (place < len(x))
+            parts += zip(c[some[ok]].tolist(), [side] * int(ok.sum()), n[ok].tolist(), x[place[ok]].tolist(), [False] * int(ok.sum()), strict=True)
+    out = sorted(set(out))
+    for s, e, *_ in out:
+        inside = c[(c >= s) & (c < e)]
+        if s > 0:
+            parts += ((k, 0, k - s + 1, int(x[s - 1]), True) for k in sorted(set(inside[inside < s + width - 1].tolist())))
+        if e < len(x):
+            parts += ((k, 1, e - k, int(x[e]), True) for k in sorted(set(inside[inside > e - width].tolist())))
+    return out, parts
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts (n, text) of the documents in pairs."""
+    return texts.join(pairs.select(F.explode(F.array("doc", "src")).alias("n")).distinct(), "n", "left_semi")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc, src, seeds and both texts. A source that many documents repeat is salted: its text goes once to each salt in use."""
+    salts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    mine = texts.select(F.col("n").alias("doc"), F.col("text").alias("x"))
+    copies = pairs.select("src", "salt").distinct().join(texts.select(F.col("n").alias("src"), F.col("text").alias("y")), "src")
+    return pairs.join(mine, "doc").join(copies, ["src", "salt"]).select("doc", "src", "seeds", "x", "y")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc, src; and a passage (first, end, src_first, similarity), or a parting place (similarity null, the key in end, c in first; src_first is 1 in a passage)."""
+    schema = pa.schema([("doc", pa.int64()), ("src", pa.int64()), ("first", pa.int64()), ("end", pa.int64()), ("src_first", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches):
-        for b in slices(batches):
-            ids, sigs = [], []
-            for d, text in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
-                if d is not None and text and len(s := shingle_hashes(text)) >= width:
-                    ids.append(d)
-                    sigs.append((s >> np.uint64(48)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], names=["_id", "sig"])
-
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_col).mapInArrow(run, "_id long, sig binary")
-
-
-def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], width: int, need: int, similarity: float):
-    """Passages of x, (start, end, start in y, Jaccard) in shingles, that y repeats.
-
-    seeds: places in x and in y, hash function. Seeds that follow each other within
-    a passage's width on nearby diagonals are one cluster, which must have ``need``
-    hash functions. Runs of equal tokens on its diagonals, at most ten apart, are
-    a passage if its Jaccard similarity suffices; else each run that is wide
-    enough on its own. Where x itself holds a passage more than once, its other
-    places are found by three tokens in a row and judged alike.
+        src, y = None, None
+        for b in slices(batches, 64):
+            found, parted = [], []
+            ids, srcs, seeds = (b.column(i).to_pylist() for i in range(3))
+            for i, (d, s, own) in enumerate(zip(ids, srcs, seeds, strict=True)):
+                if s != src:
+                    src, y = s, shingle_hashes(raw_texts(b.column(4).slice(i, 1))[0])
+                x = shingle_hashes(raw_texts(b.column(3).slice(i, 1))[0])
+                passages, parts = verified_passages(x, y, [(v >> 33, v >> 4 & 0x1FFFFFFF) for v in own], width, similarity)
+                found += [(d, s, a, e + SHINGLE - 1, r, j) for a, e, r, j in passages]
+                parted += [(d, s, c, int(x[c]), side << 32 | n, token, known) for c, side, n, token, known in parts]
+            cols = list(zip(*found, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            if parted:
+                d, s, c, known = (np.array([v[i] for v in parted], np.int64) for i in (0, 1, 2, 6))
+                key, where, token = (np.array([v[i] for v in parted], np.uint64) for i in (3, 4, 5))
+                key = mix64(mix64(mix64(key ^ (s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + where) ^ token)
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(c), pa.array(key.view(np.int64)), pa.array(known), pa.nulls(len(d), pa.float64())], schema=schema)
+
+    return _with_texts(pairs, texts).mapInArrow(run, "doc long, src long, first long, end long, src_first long, similarity double")
+
+
+def _again(parted: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of windows that parted alike, inside a passage near its end or outside all: each goes with the first document of its key."""
+    known = found.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("first", "end")).alias("known"))
+    inside = F.exists("known", lambda k: (k["first"] <= F.col("first")) & (F.col("first") < k["end"]))
+    some = parted.join(known, F.col("doc") == F.col("d"), "left").where((F.col("src_first") == 1) | ~F.coalesce(inside, F.lit(False))).select("doc", "first", "end")
+    first = some.groupBy("end").agg(F.min(F.struct(F.col("doc").alias("d"), F.col("first").alias("c"))).alias("rep"), F.max("doc").alias("last")).where("rep.d < last")
+    seed = F.shiftleft("first", 33).bitwiseOR(F.shiftleft("rep.c", 4))
+    return some.join(first, "end").where("doc > rep.d").groupBy("doc", F.col("rep.d").alias("src")).agg(F.collect_set(seed).alias("seeds"))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(n, text) of the rows with a text, n a long in the order of the ids; and n, id, digest of the text where n isn't the id.
+
+    Integer ids that don't repeat are their own numbers. Else each distinct id and
+    text gets a number: null ids behind all others, texts of one id in any order.
     """
-    out = []
-
-    def judge(cluster, need):
-        if len({k for *_, k in cluster}) < need:
-            return
-        if all(any(s <= c < e for s, e, *_ in out) for c, _, _ in cluster):
-            return  # in passages found already
-        same = np.zeros(len(x), bool)
-        shift = np.zeros(len(x), np.int64)
-        for diag, _ in Counter(c - r for c, r, _ in cluster).most_common()[::-1]:
-            a, e = max(diag, 0), min(len(x), len(y) + diag)
-            if e > a:
-                eq = x[a:e] == y[a - diag : e - diag]
-                same[a:e] |= eq
-                shift[a:e][eq] = diag
-        edge = np.diff(np.concatenate(([0], same.view(np.int8), [0])))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        real = (ends - starts) >= 3  # shorter runs of equal 16 bits can be chance
-        starts, ends = starts[real], ends[real]
-        if not len(starts):
-            return
-        split = np.flatnonzero((starts[1:] - ends[:-1] > 10) | (np.abs(shift[starts[1:]] - shift[starts[:-1]]) > 10)) + 1
-        for group in np.split(np.arange(len(starts)), split):
-            s, e = int(starts[group[0]]), int(ends[group[-1]])
-            rs, re = s - int(shift[s]), e - int(shift[e - 1])
-            if e - s >= width and re > rs:
-                a, b = set(x[s:e].tolist()), set(y[rs:re].tolist())
-                j = len(a & b) / len(a | b)
-                if j >= similarity:
-                    out.append((s, e, rs, j))
-                    continue
-            for i in group:
-                if ends[i] - starts[i] >= width:
-                    out.append((int(starts[i]), int(ends[i]), int(starts[i] - shift[starts[i]]), 1.0))
-
-    def judge_all(seeds, need):
-        cluster = []
-        for c, r, k in sorted(seeds):
-            if cluster and (c - cluster[-1][0] > width or abs((c - r) - (cluster[-1][0] - cluster[-1][1])) > 10):
-                judge(cluster, need)
-                cluster = []
-            cluster.append((c, r, k))
-        if cluster:
-            judge(cluster, need)
-
-    judge_all(seeds, need)
-    more = set()
-    if out:
-        free = np.ones(len(x), bool)
-        for s, e, *_ in out:
-            free[s:e] = False
-        places = np.flatnonzero(free[:-2]) if free.any() else []
-        if len(places):
-            for s, e, r, _ in out:
-                for p in range(s, e - 2, max(1, width // 2)):
-                    hit = places[(x[places] == x[p]) & (x[places + 1] == x[p + 1]) & (x[places + 2] == x[p + 2])]
-                    more.update((q, r + p - s, 0) for q in hit.tolist())
-    judge_all(more, 1)
-    return sorted(set(out))
+    text, number = own_column(text_col).alias("text"), own_column(id_col)
+    if docs.select(number).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint") and not docs.where(number.isNotNull()).groupBy(number).count().where("count > 1").take(1):
+        return docs.where(number.isNotNull()).select(number.cast("long").alias("n"), text), None
+    own = docs.where(own_column(text_col).isNotNull()).select(number.alias("id"), F.xxhash64(own_column(text_col)).alias("digest"), text)
+    keys = own.select("id", "digest").distinct().orderBy(F.col("id").asc_nulls_last(), "digest")
+    keys = cut(keys.select(F.monotonically_increasing_id().alias("n"), "id", "digest"))
+    k = keys.alias("k")
+    return own.alias("o").join(k, F.col("o.id").eqNullSafe(F.col("k.id")) & (F.col("o.digest") == F.col("k.digest"))).select("n", "text").dropDuplicates(["n"]), keys
+
+
+def _found(numbered: DataFrame, words: int, similarity: float, hashes: int, need: int) -> DataFrame:
+    """doc, src, first, end, src_first, similarity of the passages, in words; documents by number."""
+    width = words - SHINGLE + 1
+    if not 0 < width < 1000 or hashes > len(_SEEDS):
+        raise ValueError("words or hashes out of range")
+    links = _links(_windows(numbered, width, hashes), width)
+    met = links.groupBy("doc", "src").agg(F.collect_list("seed").alias("seeds"), F.bit_or(F.expr("shiftleft(1, cast(seed & 7 as int))")).alias("k"), F.bit_or(F.expr("seed & 8")).alias("alike"))
+    pairs = cut(met.where((F.bit_count("k") >= need) | (F.col("alike") > 0)).select("doc", "src", "seeds"))
+    out, texts = None, _texts_of(pairs, numbered)
+    while True:
+        done = cut(_verify(pairs, texts, width, similarity))
+        passages = done.where("similarity is not null")
+        out = passages if out is None else out.unionByName(passages)
+        pairs = cut(_again(done.where("similarity is null"), out))
+        if not pairs.take(1):
+            return out.distinct()
+        # all later pairs are of documents in these, far fewer ones
+        texts = cut(_texts_of(pairs, texts))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, similarity: float = 0.8, hashes: int = 4, need: int = 2) -> DataFrame:
     """Passages of at least ``words`` words that an earlier document (by id) holds too.
 
     One row each: id, first_word, end_word, src_doc_id, src_first_word, similarity.
-    The document that stays without a row keeps the passage. Documents meet if at
-    least ``need`` of ``hashes`` minima agree and the tokens' similarity verifies.
-    Null and empty texts, texts of fewer words, and rows with a null id give no
-    rows; rows of one id are one document. Very long texts are taken whole, with
-    memory in proportion. Only the id (an integer) and the text are read.
+    The document that stays without a row keeps the passage. Windows meet by a
+    context that agrees too, or by at least ``need`` of ``hashes`` minima; the
+    texts' tokens verify. Null and empty texts and texts of fewer words give no
+    rows. Ids may be of any type that sorts, and null, which is behind all others;
+    rows with the same id and text are one document, those with the same id and
+    different texts are documents of their own. Very long texts are taken whole,
+    with time and memory in proportion. Only the id and the text are read.
     """
-    width = words - SHINGLE + 1
-    if not 0 < width < 1000 or hashes > len(_SEEDS):
-        raise ValueError("words or hashes out of range")
-    links = _links(_windows(docs, id_col, text_col, width, hashes), width)
-    pairs = links.groupBy("doc", "src").agg(F.collect_list("seed").alias("seeds"), F.bit_or(F.expr("shiftleft(1, cast(seed & 7 as int))")).alias("_k")).where(F.bit_count("_k") >= need).drop("_k")
-    # A source that many documents repeat is salted: its signature goes once to each salt in use.
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")))
-    signed = _signatures(docs, id_col, text_col, width).dropDuplicates(["_id"])
-    mine = signed.select(F.col("_id").alias("doc"), F.col("sig").alias("x"))
-    theirs = signed.select(F.col("_id").alias("src"), F.col("sig").alias("y"))
-    copies = pairs.select("src", "salt").distinct().join(theirs, "src")
-    both = pairs.join(mine, "doc").join(copies, ["src", "salt"]).select("doc", "src", "seeds", "x", "y")
-    names = [id_col, "first_word", "end_word", "src_doc_id", "src_first_word", "similarity"]
-
-    def run(batches):
-        for b in slices(batches):
-            out = []
-            for d, src, seeds, x, y in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                places = [(v >> 32, v >> 3 & 0x1FFFFFFF, v & 7) for v in seeds]
-                for s, e, r, j in verified_passages(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2"), places, width, need, similarity):
-                    out.append((d, s, e + SHINGLE - 1, src, r, j))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return both.mapInArrow(run, f"`{id_col}` long, first_word long, end_word long, src_doc_id long, src_first_word long, similarity double")
+    numbered, keys = _numbered(docs, id_col, text_col)
+    found = _found(numbered, words, similarity, hashes, need)
+    kind = docs.select(own_column(id_col)).dtypes[0][1]
+    if keys is None:
+        return found.select(F.col("doc").cast(kind).alias(id_col), F.col("first").alias("first_word"), F.col("end").alias("end_word"), F.col("src").cast(kind).alias("src_doc_id"), F.col("src_first").alias("src_first_word"), "similarity")
+    named = found.join(keys.select(F.col("n").alias("doc"), F.col("id").alias("own")), "doc").join(keys.select(F.col("n").alias("src"), F.col("id").alias("other")), "src")
+    return named.select(F.col("own").alias(id_col), F.col("first").alias("first_word"), F.col("end").alias("end_word"), F.col("other").alias("src_doc_id"), F.col("src_first").alias("src_first_word"), "similarity")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -329,16 +432,21 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, similarity: float = 0.8, hashes: int = 4, need: int = 2) -> DataFrame:
     """The documents without the passages that an earlier one holds; one left without a word is dropped.
 
-    All columns are kept. Documents without such a passage stay as they are, null
-    and empty texts too.
+    All columns are kept, whatever their names. Documents without such a passage
+    stay as they are, null and empty texts too, and repeated rows as often as they stand.
     """
-    spans = repeated_passages(docs, id_col, text_col, **options)
-    per_doc = spans.groupBy(F.col(id_col).alias("_doc")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans"))
-    joined = docs.join(per_doc, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
+    numbered, keys = _numbered(docs, id_col, text_col)
+    per_doc = _found(numbered, words, similarity, hashes, need).groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     columns = docs.columns
+    row = docs.select(F.struct(*(own_column(c) for c in columns)).alias("row"), own_column(id_col).alias("id"), F.xxhash64(own_column(text_col)).alias("digest"))
+    if keys is None:
+        joined = row.join(per_doc, F.col("id").cast("long") == F.col("doc"), "left")
+    else:
+        p = per_doc.join(keys.withColumnRenamed("n", "doc"), "doc").alias("p")
+        joined = row.alias("r").join(p, F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.digest") == F.col("p.digest")), "left")
     at = columns.index(text_col)
 
     def run(batches):
@@ -349,10 +457,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if hit:
                 new = texts.to_pylist()
                 for i in hit:
-                    new[i] = without_words(new[i], [(s["first_word"], s["end_word"]) for s in spans_of[i]])
+                    new[i] = without_words(new[i], [(s["first"], s["end"]) for s in spans_of[i]])
                     keep[i] = bool(new[i].strip())
                 texts = pa.array(new, texts.type)
             cols = [texts if i == at else b.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(keep))
 
-    return joined.select(*[F.col(f"`{c}`") for c in columns], "_spans").mapInArrow(run, docs.schema)
+    return by_place(joined.select(*[F.col("row")[c] for c in columns], "spans")).mapInArrow(run, docs.schema)

@@ -89,7 +89,7 @@ def test_other_operators_with_odd_and_empty_tables(spark, odd):
     assert decontamination.find(none, items(spark)).count() == 0
     assert decontamination.find(odd, items(spark).limit(0)).count() == 0
     assert decontamination.remove(odd, items(spark)).count() == len(ODD)
-    assert substring_dedup.repeated_passages(odd).count() == 0  # rows of one id are one document
+    assert substring_dedup.repeated_passages(odd).count() == 0  # rows of one id and text are one document
     assert substring_dedup.repeated_passages(none).count() == 0
     assert substring_dedup.remove_repeats(odd).count() == len(ODD)
     assert simhash.one_of_each(odd).count() == 6 and simhash.one_of_each(none).count() == 0  # the three wordless link
