@@ -193,21 +193,6 @@ def _links(windows: DataFrame, width: int) -> DataFrame:
     return sorted_windows.mapInArrow(run, "doc long, src long, seed long")
 
 
-def _same_until(x: np.ndarray, y: np.ndarray, p: int, q: int, step: int) -> int:
-    """How many tokens agree from x[p] and y[q] on, rightwards (step 1) or leftwards (-1)."""
-    most = min(len(x) - p, len(y) - q) if step > 0 else min(p, q) + 1
-    done, size = 0, 64
-    while done < most:
-        n = min(size, most - done)
-        a, b = p + step * done, q + step * done
-        differs = x[a : a + n] != y[b : b + n] if step > 0 else x[a - n + 1 : a + 1][::-1] != y[b - n + 1 : b + 1][::-1]
-        at = int(differs.argmax())
-        if differs[at]:
-            return done + at
-        done, size = done + n, size * 4
-    return most
-
-
 def _next_run(x: np.ndarray, y: np.ndarray, p: int, q: int, step: int, reach: int) -> tuple[int, int] | None:
     """The nearest place behind a mismatch at x[p], y[q] where a token agrees, shifted by at most ``_SHIFT``."""
     n = reach
@@ -220,24 +205,46 @@ def _next_run(x: np.ndarray, y: np.ndarray, p: int, q: int, step: int, reach: in
     return None if cost[k] == 1 << 30 else (p + step * int(i[k]), q + step * int(j[k]))
 
 
-def _runs_around(x: np.ndarray, y: np.ndarray, c: int, r: int, reach: int) -> list[tuple[int, int, int]]:
-    """(start, end, start in y) of the runs of equal tokens around a seed, each within reach of the next."""
-    left, right = _same_until(x, y, c, r, -1), _same_until(x, y, c, r, 1)
-    if not right:
-        return []
-    runs = [(c - left + 1, c + right, r - left + 1)]
-    while (s := runs[-1])[1] < len(x) and (hit := _next_run(x, y, s[1], s[2] + s[1] - s[0], 1, reach)):
-        runs.append((hit[0], hit[0] + _same_until(x, y, *hit, 1), hit[1]))
-    runs.reverse()
-    while (s := runs[-1])[0] > 0 and s[2] > 0 and (hit := _next_run(x, y, s[0] - 1, s[2] - 1, -1, reach)):
-        n = _same_until(x, y, *hit, -1)
-        runs.append((hit[0] - n + 1, hit[0] + 1, hit[1] - n + 1))
-    return runs[::-1]
-
-
-def _passages_of(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int]], width: int, similarity: float) -> list[tuple[int, int, int, float]]:
+def _runs_on(x: np.ndarray, y: np.ndarray, c: int, r: int, reach: int, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends in x of the runs of equal tokens on a seed's diagonal, each within reach of the next, between left and right."""
+    low, high = max(left, c - r), min(right, len(y) + c - r)
+    size = 256
+    while True:
+        a, e = max(low, c - size), min(high, c + size)
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], x[a:e] == y[a - c + r : e - c + r], [False]))))
+        starts, ends = edge[::2] + a, edge[1::2] + a
+        own = int(np.searchsorted(starts, c, "right")) - 1
+        if own < 0 or ends[own] <= c:
+            return starts[:0], ends[:0]
+        breaks = np.flatnonzero(starts[1:] - ends[:-1] > reach) + 1
+        k = int(np.searchsorted(breaks, own, "right"))
+        first, last = (int(breaks[k - 1]) if k else 0), (int(breaks[k]) if k < len(breaks) else len(starts))
+        if (a == low or starts[first] - a > reach) and (e == high or e - ends[last - 1] > reach):
+            return starts[first:last], ends[first:last]
+        size *= 4
+
+
+def _runs_around(x: np.ndarray, y: np.ndarray, c: int, r: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and starts in y of the runs of equal tokens around a seed, each within reach of the next, shifted or not."""
+    starts, ends = _runs_on(x, y, c, r, reach, 0, len(x))
+    if not len(starts):
+        return starts, ends, starts
+    parts = [(starts, ends, starts - c + r)]
+    while (e := int(parts[-1][1][-1])) < len(x) and (hit := _next_run(x, y, e, int(parts[-1][2][-1] + e - parts[-1][0][-1]), 1, reach)):
+        starts, ends = _runs_on(x, y, *hit, reach, hit[0], len(x))
+        parts.append((starts, ends, starts - hit[0] + hit[1]))
+    parts.reverse()
+    while (s := int(parts[-1][0][0])) > 0 and (q := int(parts[-1][2][0])) > 0 and (hit := _next_run(x, y, s - 1, q - 1, -1, reach)):
+        starts, ends = _runs_on(x, y, *hit, reach, 0, hit[0] + 1)
+        parts.append((starts, ends, starts - hit[0] + hit[1]))
+    parts.reverse()
+    return tuple(np.concatenate(v) for v in zip(*parts, strict=True))
+
+
+def _passages_of(x: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, int, float]]:
     """The runs joined, from the left, as far as the joined span keeps the similarity and what it gains outweighs its gaps."""
-    starts, ends, at = (np.array(v, np.int64) for v in zip(*runs, strict=True))
+    if not len(starts) or ends[-1] - starts[0] < width:
+        return []
     size, y_ends = ends - starts, at + ends - starts
     matched = np.concatenate(([0], np.cumsum(size)))
     # of the tokens m, n of both sides and their common ones c, c >= similarity * (m + n - c)
@@ -246,7 +253,7 @@ def _passages_of(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int]],
     gaps = np.concatenate(([0], np.cumsum(np.maximum(starts[1:] - ends[:-1], at[1:] - y_ends[:-1]))))
     worth = matched[1:] - gaps
     out, i = [], 0
-    while i < len(runs):
+    while i < len(starts):
         last = int(np.flatnonzero((gain[i:] >= start[i] - 1e-9) & (worth[i:] >= np.maximum.accumulate(worth[i:])))[-1]) + i
         s, e, rs, re = int(starts[i]), int(ends[last]), int(at[i]), int(y_ends[last])
         found = None
@@ -265,15 +272,17 @@ def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]
 
     seeds: places in x and in y. A passage is runs of equal tokens that are joined as
     long as the span's Jaccard similarity suffices. Its cost is in proportion to its
-    length; seeds within a passage found aren't followed again. A seed without 20
-    equal tokens within a passage's width isn't followed: so many has the longer
-    part of the least passage around its edit. Parting places: (c, side, tokens from
-    c, token of x, whether c is in a passage) on each side where x goes on and agrees
-    with y, or is in the passage, for less than a passage's width from the seed.
+    length; seeds within a passage found aren't followed again. A seed that stands in
+    no run of the length that the longer part of the least passage with an edit has,
+    and hasn't as many equal tokens around it as that passage, isn't followed.
+    Parting places: (c, side, tokens from c, token of x, whether c is in a passage) on
+    each side where x goes on and agrees with y, or is in the passage, for less than
+    a passage's width from the seed; but not of a token that stands beside itself, as
+    one word over and over has no place of its own.
     """
     c, r = (np.array(v, np.int64) for v in zip(*sorted(set(seeds)), strict=True))
     offsets, mid = np.arange(-(width - 1), width), width - 1
-    out, parts, left = [], [], np.ones(len(c), bool)
+    out, parts, left, followed = [], [], np.ones(len(c), bool), np.zeros(len(c), bool)
     while left.any():
         some = np.flatnonzero(left)[:32]
         left[some] = False
@@ -281,21 +290,26 @@ def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]
         real = (i >= 0) & (i < len(x)) & (j >= 0) & (j < len(y))
         same = real & (x[np.clip(i, 0, len(x) - 1)] == y[np.clip(j, 0, len(y) - 1)])
         covered = np.zeros(len(some), bool)
-        for k in np.flatnonzero(same.sum(1) >= (width - SHINGLE) // 2):
-            if covered[k]:
+        sides = [(side, ~eq.all(1), np.where(eq.all(1), width, eq.argmin(1))) for side, eq in ((0, same[:, mid::-1]), (1, same[:, mid:]))]
+        run = np.where(same[:, mid], sides[0][2] + sides[1][2] - 1, 0)
+        for k in np.flatnonzero((run >= (width - SHINGLE) // 2) | (same.sum(1) >= width - SHINGLE)):
+            if covered[k] or followed[some[k]]:
                 continue
             runs = _runs_around(x, y, int(c[some[k]]), int(r[some[k]]), width // 2)
-            for s, e, rs, jac in _passages_of(x, y, runs, width, similarity) if runs else ():
+            followed |= (c >= runs[0][0]) & (c < runs[1][-1]) & (c - r == c[some[k]] - r[some[k]])
+            for s, e, rs, jac in _passages_of(x, y, *runs, width, similarity):
                 out.append((s, e, rs, jac))
                 left &= (c < s) | (c >= e)
                 covered |= (c[some] >= s) & (c[some] < e)
-        for side, eq in ((0, same[:, mid::-1]), (1, same[:, mid:])):
-            ends = ~eq.all(1) & ~covered
-            n = np.where(ends, eq.argmin(1), width)
+        for side, ends, n in sides:
             place = c[some] - n if side == 0 else c[some] + n
-            ok = ends & (n > 0) & (place >= 0) & (place < len(x))
+            ok = ends & ~covered & (n > 0) & (place >= 0) & (place < len(x))
             parts += zip(c[some[ok]].tolist(), [side] * int(ok.sum()), n[ok].tolist(), x[place[ok]].tolist(), [False] * int(ok.sum()), strict=True)
     out = sorted(set(out))
+    alone = np.concatenate((x[1:] != x[:-1], [True]))
+    alone[1:] &= alone[:-1].copy()
+    parts = [v for v in parts if alone[v[0]]]
+    c = c[alone[c]]
     for s, e, *_ in out:
         inside = c[(c >= s) & (c < e)]
         if s > 0:
@@ -348,9 +362,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
 
 def _again(parted: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of windows that parted alike, inside a passage near its end or outside all: each goes with the first document of its key."""
-    known = found.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("first", "end")).alias("known"))
-    inside = F.exists("known", lambda k: (k["first"] <= F.col("first")) & (F.col("first") < k["end"]))
-    some = parted.join(known, F.col("doc") == F.col("d"), "left").where((F.col("src_first") == 1) | ~F.coalesce(inside, F.lit(False))).select("doc", "first", "end")
+    spans = found.select(F.col("doc").alias("d"), F.col("first").alias("s"), F.col("end").alias("e"))
+    inside = parted.where("src_first = 0").select("doc", "first").distinct().join(spans, F.col("doc") == F.col("d")).where("s <= first and first < e").select("doc", "first").distinct()
+    some = parted.where("src_first = 1").select("doc", "first", "end").unionByName(parted.where("src_first = 0").select("doc", "first", "end").join(inside, ["doc", "first"], "left_anti"))
     first = some.groupBy("end").agg(F.min(F.struct(F.col("doc").alias("d"), F.col("first").alias("c"))).alias("rep"), F.max("doc").alias("last")).where("rep.d < last")
     seed = F.shiftleft("first", 33).bitwiseOR(F.shiftleft("rep.c", 4))
     return some.join(first, "end").where("doc > rep.d").groupBy("doc", F.col("rep.d").alias("src")).agg(F.collect_set(seed).alias("seeds"))
@@ -384,7 +398,7 @@ def _found(numbered: DataFrame, words: int, similarity: float, hashes: int, need
     while True:
         done = cut(_verify(pairs, texts, width, similarity))
         passages = done.where("similarity is not null")
-        out = passages if out is None else out.unionByName(passages)
+        out = passages if out is None else cut(out.unionByName(passages))
         pairs = cut(_again(done.where("similarity is null"), out))
         if not pairs.take(1):
             return out.distinct()
