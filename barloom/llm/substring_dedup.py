@@ -103,7 +103,7 @@ def _windows(docs: DataFrame, width: int, hashes: int) -> DataFrame:
                     ctx.append((before.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64))
                     around.append(mix64(sums[np.minimum(c + width, len(s))] - sums[c]) - (sums[c] - sums[np.maximum(c - width + 1, 0)]))
             if keys:
-                cols = _met_here(*(np.concatenate(v) for v in (keys, doc, at, ctx, around)))
+                cols = _met_here(*(np.concatenate(v) for v in (keys, doc, at, ctx, around)), width)
                 for i in range(0, len(cols[0]), 50_000):
                     part = [v[i : i + 50_000] for v in cols]
                     yield pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2]), pa.array(part[3].view(np.int64))], names=["key", "doc", "at", "ctx"])
@@ -116,11 +116,12 @@ def _seed(c, r, k, alike):
     return (c << 33) | (r << 4) | (alike << 3) | k
 
 
-def _met_here(key, doc, at, ctx, around) -> list[np.ndarray]:
+def _met_here(key, doc, at, ctx, around, width: int) -> list[np.ndarray]:
     """Windows that are alike as far as a passage can reach to both sides meet within a batch.
 
     What one of them shares with any other text the first does too, so that only
-    the first goes on; a link (at below 0, its source in ctx) goes in the others' place.
+    the first goes on. One link (at below 0, its source in ctx) goes in the place of
+    all others that follow each other on a diagonal, as they are in one passage.
     """
     order = np.lexsort((at, doc, around, key))
     key, doc, at, ctx, around = (v[order] for v in (key, doc, at, ctx, around))
@@ -129,9 +130,13 @@ def _met_here(key, doc, at, ctx, around) -> list[np.ndarray]:
     gone = doc != doc[first]
     if gone.any():
         i, r = np.flatnonzero(gone), first[gone]
-        seeds = _seed(at[i] >> 24, at[r] >> 24, at[i] >> 20 & 15, 1)
+        c, place = at[i] >> 24, at[r] >> 24
+        order = np.lexsort((c, c - place, doc[r], doc[i]))
+        i, r, c, place = i[order], r[order], c[order], place[order]
+        apart = np.concatenate(([True], (doc[i[1:]] != doc[i[:-1]]) | (doc[r[1:]] != doc[r[:-1]]) | (c[1:] - place[1:] != c[:-1] - place[:-1]) | (c[1:] - c[:-1] > width)))
+        i, r, c, place = i[apart], r[apart], c[apart], place[apart]
         spread = mix64(doc[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc[r].astype(np.uint64))
-        key, doc, at, ctx = np.concatenate((key[~gone], spread)), np.concatenate((doc[~gone], doc[i])), np.concatenate((at[~gone], -1 - seeds)), np.concatenate((ctx[~gone], doc[r].astype(np.uint64)))
+        key, doc, at, ctx = np.concatenate((key[~gone], spread)), np.concatenate((doc[~gone], doc[i])), np.concatenate((at[~gone], -1 - _seed(c, place, at[i] >> 20 & 15, 1))), np.concatenate((ctx[~gone], doc[r].astype(np.uint64)))
     return [key, doc, at, ctx]
 
 
@@ -319,9 +324,11 @@ def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]
     return out, parts
 
 
-def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts (n, text) of the documents in pairs."""
-    return texts.join(pairs.select(F.explode(F.array("doc", "src")).alias("n")).distinct(), "n", "left_semi")
+def _texts_of(pairs: DataFrame, texts: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The texts (n, text) of the documents in pairs. Up to ``most`` numbers are broadcast, so that only these texts move; more are joined."""
+    used = pairs.select(F.explode(F.array("doc", "src")).alias("n")).distinct()
+    small = pairs.limit(most // 2 + 1).count() <= most // 2
+    return texts.join(F.broadcast(used) if small else used, "n", "left_semi")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
