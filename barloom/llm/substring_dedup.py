@@ -34,16 +34,27 @@ _ASIDE = 10
 _SHIFT = 10
 
 
-def shingle_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of all five-word shingles of a whole text, A-Z lower-cased."""
-    w = word_hashes(b" ".join(text.lower().split()))[0]
+def shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all five-word shingles of whole texts, A-Z lower-cased, in one array, and where each text's begin (and the end)."""
+    joined = [b" ".join(t.lower().split()) for t in texts]
+    size = np.array([t.count(b" ") + 1 if t else 0 for t in joined], np.int64)
+    w = word_hashes(b" ".join(t for t in joined if t))[0]
     n = len(w) - SHINGLE + 1
+    keep = np.maximum(size - SHINGLE + 1, 0)
+    bounds = np.concatenate(([0], np.cumsum(keep)))
     if n < 1:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), bounds * 0
     h = w[:n] * _MULT[0]
     for k in range(1, SHINGLE):
         h = h + w[k : k + n] * _MULT[k]
-    return mix64(h)
+    if len(texts) > 1:  # without those that reach into the next text
+        h = h[np.arange(bounds[-1]) + np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])) - bounds[:-1], keep)]
+    return mix64(h), bounds
+
+
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """``shingles_of`` one text."""
+    return shingles_of([text])[0]
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -54,28 +65,41 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def compact_windows(x: np.ndarray, width: int) -> tuple[list[int], list[int], list[int]]:
+def compact_windows(x: np.ndarray, width: int, bounds=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of all compact windows of at least ``width`` tokens; the leftmost of equal minima counts.
 
+    ``bounds``: where the texts in x begin, and the end; windows stay within theirs.
     A token is the minimum of such a window only if it is that of some run of
     exactly ``width`` tokens; the next smaller tokens to its left and right are
-    of that kind too. So the Cartesian tree is built over these few alone.
+    of that kind too. So the Cartesian trees are built over these few alone.
     """
     n = len(x)
+    none = np.empty(0, np.int64)
     if n < width:
-        return [], [], []
+        return none, none, none
+    bounds = np.array([0, n]) if bounds is None else bounds
     low = _sliding(x, width, np.minimum)
+    for back in range(1, width):  # a run that reaches into the next text has no minimum
+        at = bounds[1:-1] - back
+        low[at[(at >= 0) & (at < len(low))]] = 0
     pad = np.zeros(width - 1, x.dtype)
-    cs = np.flatnonzero(_sliding(np.concatenate((pad, low, pad)), width, np.maximum) == x).tolist()
-    xs = x[cs].tolist()
-    left, right, stack = [0] * len(cs), [n - 1] * len(cs), []
+    cs = np.flatnonzero(_sliding(np.concatenate((pad, low, pad)), width, np.maximum) == x)
+    # places count twice, so that a text's beginning, smaller than all, stands between two
+    starts = np.unique(bounds[:-1])
+    where = np.concatenate((2 * cs, 2 * starts - 1))
+    order = np.argsort(where, kind="stable")
+    at, xs = where[order].tolist(), np.concatenate((x[cs], np.zeros(len(starts), x.dtype)))[order].tolist()
+    for k in np.flatnonzero(order >= len(cs)).tolist():
+        xs[k] = -1
+    left, right, stack = [0] * len(at), [n - 1] * len(at), []
     for k, v in enumerate(xs):
         while stack and xs[stack[-1]] > v:
-            right[stack.pop()] = cs[k] - 1
-        left[k] = cs[stack[-1]] + 1 if stack else 0
+            right[stack.pop()] = (at[k] - 1) // 2
+        left[k] = at[stack[-1]] // 2 + 1 if stack else 0
         stack.append(k)
-    keep = [k for k in range(len(cs)) if right[k] - left[k] + 1 >= width]
-    return [left[k] for k in keep], [cs[k] for k in keep], [right[k] for k in keep]
+    left, right, at = np.array(left, np.int64), np.array(right, np.int64), np.array(at, np.int64)
+    keep = (at % 2 == 0) & (right - left + 1 >= width)
+    return left[keep], at[keep] // 2, right[keep]
 
 
 def _windows(docs: DataFrame, width: int, hashes: int) -> DataFrame:
@@ -85,23 +109,40 @@ def _windows(docs: DataFrame, width: int, hashes: int) -> DataFrame:
         for b in slices(batches, 8192):
             ids = b.column(0).to_pylist()
             keys, doc, at, ctx, around = [], [], [], [], []
-            for d, text in zip(ids, raw_texts(b.column(1)), strict=True):
-                if d is None or not text:
-                    continue
-                s = shingle_hashes(text)
-                if len(s) < width:
-                    continue
+            held, some, size = [], [], 0
+
+            def flush():
+                s, bounds = shingles_of(held)
+                n = np.diff(bounds)
+                if len(s) < width or not (n >= width).any():
+                    return
+                d_of, end = np.repeat(np.array(some, np.int64), n), np.repeat(bounds[1:], n)
+                begin = np.repeat(bounds[:-1], n)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)))
                 for k in range(hashes):
                     x = mix64(s ^ _SEEDS[k])
-                    left, c, right = (np.array(v, np.int64) for v in compact_windows(x, width))
+                    left, c, right = compact_windows(x, width, bounds)
+                    own, a, e = d_of[c], begin[c], end[c]
                     keys.append(x[c])
-                    doc.append(np.full(len(c), d, np.int64))
-                    at.append((c << 24) | (k << 20) | (np.minimum(c - left, width) << 10) | np.minimum(right - c, width))
-                    before = np.where(c >= _ASIDE, s[np.maximum(c - _ASIDE, 0)] >> np.uint64(32), d & 0xFFFFFFFF)
-                    after = np.where(c + _ASIDE < len(s), s[np.minimum(c + _ASIDE, len(s) - 1)] >> np.uint64(32), d & 0xFFFFFFFF)
-                    ctx.append((before.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64))
-                    around.append(mix64(sums[np.minimum(c + width, len(s))] - sums[c]) - (sums[c] - sums[np.maximum(c - width + 1, 0)]))
+                    doc.append(own)
+                    at.append(((c - a) << 24) | (k << 20) | (np.minimum(c - left, width) << 10) | np.minimum(right - c, width))
+                    lone = own.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+                    before = np.where(c - _ASIDE >= a, s[np.maximum(c - _ASIDE, 0)] >> np.uint64(32), lone)
+                    after = np.where(c + _ASIDE < e, s[np.minimum(c + _ASIDE, len(s) - 1)] >> np.uint64(32), lone)
+                    ctx.append((before << np.uint64(32)) | after)
+                    around.append(mix64(sums[np.minimum(c + width, e)] - sums[c]) - (sums[c] - sums[np.maximum(c - width + 1, a)]))
+
+            for d, text in zip(ids, raw_texts(b.column(1)), strict=True):
+                if d is None or not text:
+                    continue
+                if held and size + len(text) > 1 << 20:
+                    flush()
+                    held, some, size = [], [], 0
+                held.append(text)
+                some.append(d)
+                size += len(text)
+            if held:
+                flush()
             if keys:
                 cols = _met_here(*(np.concatenate(v) for v in (keys, doc, at, ctx, around)), width)
                 for i in range(0, len(cols[0]), 50_000):
@@ -393,6 +434,14 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     return own.alias("o").join(k, F.col("o.id").eqNullSafe(F.col("k.id")) & (F.col("o.digest") == F.col("k.digest"))).select("n", "text").dropDuplicates(["n"]), keys
 
 
+def _copies(numbered: DataFrame, words: int) -> DataFrame:
+    """Documents that repeat an earlier text whole (by two hashes of 64 bits), as passages; nothing else is looked for in them."""
+    prints = numbered.select("n", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("b"), "text").alias("b"), F.regexp_count("text", F.lit(r"[^\x09-\x0D\x20]+")).cast("long").alias("size")).where(F.col("size") >= words)
+    first = prints.groupBy("a", "b").agg(F.min("n").alias("src"), F.max("n").alias("last")).where("src < last").drop("last")
+    pairs = prints.join(first, ["a", "b"]).where("n > src")
+    return cut(pairs.select(F.col("n").alias("doc"), "src", F.lit(0).cast("long").alias("first"), F.col("size").alias("end"), F.lit(0).cast("long").alias("src_first"), F.lit(1.0).alias("similarity")))
+
+
 def _found(numbered: DataFrame, words: int, similarity: float, hashes: int, need: int) -> DataFrame:
     """doc, src, first, end, src_first, similarity of the passages, in words; documents by number."""
     width = words - SHINGLE + 1
@@ -400,12 +449,13 @@ def _found(numbered: DataFrame, words: int, similarity: float, hashes: int, need
         raise ValueError("words or hashes out of range")
     links = _links(_windows(numbered, width, hashes), width)
     met = links.groupBy("doc", "src").agg(F.collect_list("seed").alias("seeds"), F.bit_or(F.expr("shiftleft(1, cast(seed & 7 as int))")).alias("k"), F.bit_or(F.expr("seed & 8")).alias("alike"))
-    pairs = cut(met.where((F.bit_count("k") >= need) | (F.col("alike") > 0)).select("doc", "src", "seeds"))
+    whole = _copies(numbered, words)
+    pairs = cut(met.where((F.bit_count("k") >= need) | (F.col("alike") > 0)).select("doc", "src", "seeds").join(whole.select("doc"), "doc", "left_anti"))
     out, texts = None, _texts_of(pairs, numbered)
     while True:
         done = cut(_verify(pairs, texts, width, similarity))
         passages = done.where("similarity is not null")
-        out = passages if out is None else cut(out.unionByName(passages))
+        out = cut((whole if out is None else out).unionByName(passages))
         pairs = cut(_again(done.where("similarity is null"), out))
         if not pairs.take(1):
             return out.distinct()

@@ -274,6 +274,19 @@ def test_compact_windows_match_definition():
         assert sorted(zip(*substring_dedup.compact_windows(x, w), strict=True)) == sorted(want)
 
 
+def test_compact_windows_of_several_texts_are_those_of_each():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        parts, w = [rng.integers(1, 60, int(rng.integers(0, 40))).astype(np.uint64) for _ in range(6)], int(rng.integers(1, 9))
+        bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        got = sorted(zip(*substring_dedup.compact_windows(np.concatenate(parts), w, bounds), strict=True))
+        assert got == sorted(tuple(v + b for v in t) for p, b in zip(parts, bounds) for t in zip(*substring_dedup.compact_windows(p, w), strict=True))
+    texts = [words(n, n).encode() for n in (0, 3, 30, 4, 5, 200)]
+    s, b = substring_dedup.shingles_of(texts)
+    for t, x, y in zip(texts, b, b[1:]):
+        assert (s[x:y] == substring_dedup.shingle_hashes(t)).all()
+
+
 def test_repeated_passages_match_brute_force(spark, real):
     passage, near = words(70, 11), words(120, 12).split()
     edited = near[:60] + ["other"] + near[61:]
