@@ -365,11 +365,11 @@ def verified_passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]
     return out, parts
 
 
-def _texts_of(pairs: DataFrame, texts: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """The texts (n, text) of the documents in pairs. Up to ``most`` numbers are broadcast, so that only these texts move; more are joined."""
-    used = pairs.select(F.explode(F.array("doc", "src")).alias("n")).distinct()
-    small = pairs.limit(most // 2 + 1).count() <= most // 2
-    return texts.join(F.broadcast(used) if small else used, "n", "left_semi")
+def _texts_of(pairs: DataFrame, texts: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, int]:
+    """The texts (n, text) of the documents in pairs, and how many pairs there are. Up to ``most`` numbers are broadcast, so that only these texts move; more are joined."""
+    rows = pairs.count()
+    used = pairs.select(F.explode(F.array(*pairs.columns[:2])).alias("n")).distinct()
+    return texts.join(F.broadcast(used) if 2 * rows <= most else used, "n", "left_semi"), rows
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -434,12 +434,20 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     return own.alias("o").join(k, F.col("o.id").eqNullSafe(F.col("k.id")) & (F.col("o.digest") == F.col("k.digest"))).select("n", "text").dropDuplicates(["n"]), keys
 
 
+def _fewer(df: DataFrame, rows: int) -> DataFrame:
+    """A materialised table in as many partitions as its rows need, if it has more."""
+    return df.coalesce(df.count() // rows + 1)
+
+
 def _copies(numbered: DataFrame, words: int) -> DataFrame:
     """Documents that repeat an earlier text whole (by two hashes of 64 bits), as passages; nothing else is looked for in them."""
-    prints = numbered.select("n", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("b"), "text").alias("b"), F.regexp_count("text", F.lit(r"[^\x09-\x0D\x20]+")).cast("long").alias("size")).where(F.col("size") >= words)
+    prints = numbered.select("n", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("b"), "text").alias("b"))
     first = prints.groupBy("a", "b").agg(F.min("n").alias("src"), F.max("n").alias("last")).where("src < last").drop("last")
-    pairs = prints.join(first, ["a", "b"]).where("n > src")
-    return cut(pairs.select(F.col("n").alias("doc"), "src", F.lit(0).cast("long").alias("first"), F.col("size").alias("end"), F.lit(0).cast("long").alias("src_first"), F.lit(1.0).alias("similarity")))
+    pairs = cut(prints.join(first, ["a", "b"]).where("n > src").select(F.col("n").alias("doc"), "src"))
+    sources = pairs.select("src").distinct()
+    texts, _ = _texts_of(sources, numbered)
+    size = texts.select(F.col("n").alias("src"), F.regexp_count("text", F.lit(r"[^\x09-\x0D\x20]+")).cast("long").alias("end")).where(F.col("end") >= words)
+    return cut(pairs.join(size, "src").select("doc", "src", F.lit(0).cast("long").alias("first"), "end", F.lit(0).cast("long").alias("src_first"), F.lit(1.0).alias("similarity")))
 
 
 def _found(numbered: DataFrame, words: int, similarity: float, hashes: int, need: int) -> DataFrame:
@@ -451,16 +459,17 @@ def _found(numbered: DataFrame, words: int, similarity: float, hashes: int, need
     met = links.groupBy("doc", "src").agg(F.collect_list("seed").alias("seeds"), F.bit_or(F.expr("shiftleft(1, cast(seed & 7 as int))")).alias("k"), F.bit_or(F.expr("seed & 8")).alias("alike"))
     whole = _copies(numbered, words)
     pairs = cut(met.where((F.bit_count("k") >= need) | (F.col("alike") > 0)).select("doc", "src", "seeds").join(whole.select("doc"), "doc", "left_anti"))
-    out, texts = None, _texts_of(pairs, numbered)
+    out, (texts, _) = None, _texts_of(pairs, numbered)
     while True:
         done = cut(_verify(pairs, texts, width, similarity))
         passages = done.where("similarity is not null")
-        out = cut((whole if out is None else out).unionByName(passages))
+        out = cut(_fewer((whole if out is None else out).unionByName(passages), 1_000_000))
         pairs = cut(_again(done.where("similarity is null"), out))
-        if not pairs.take(1):
-            return out.distinct()
         # all later pairs are of documents in these, far fewer ones
-        texts = cut(_texts_of(pairs, texts))
+        texts, rows = _texts_of(pairs, texts)
+        if not rows:
+            return out.distinct()
+        texts = cut(texts.coalesce(rows // 1000 + 1))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, similarity: float = 0.8, hashes: int = 4, need: int = 2) -> DataFrame:
