@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .rolling import SERIES, TIME
 
@@ -39,3 +41,27 @@ def in_blocks(df: DataFrame, compute: Callable[[DataFrame], DataFrame], back: in
     keyed = placed.withColumn("_home", F.col("_own") == F.col("_block")).withColumn(SERIES, F.struct(F.col(SERIES).alias("id"), F.col("_block").alias("block")))
     out = compute(keyed.drop("_own", "_block")).where("_home")
     return out.withColumn(SERIES, F.col(f"{SERIES}.id")).drop("_home")
+
+
+#: Rows of a series in one task, unless a call says otherwise.
+BLOCK_ROWS = 1_000_000
+
+
+def blocked(reach: Callable[..., tuple[int, int]]):
+    """Runs an operator over a series' rows in blocks. ``reach``: of its arguments, the rows its frames reach behind and ahead.
+
+    ``block_rows`` is the size of a block, None the whole series in one task.
+    Operators that are called within blocks already run as they are.
+    """
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(bars: DataFrame, *args, block_rows: int | None = BLOCK_ROWS, **options) -> DataFrame:
+            if block_rows is None or isinstance(bars.schema[SERIES].dataType, StructType):
+                return f(bars, *args, **options)
+            back, ahead = reach(*args, **options)
+            return in_blocks(bars, lambda b: f(b, *args, **options), back, ahead, max(block_rows, back, ahead))
+
+        return run
+
+    return wrap

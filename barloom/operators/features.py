@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import blocked
 from ..functions.rolling import ahead, back, div, flag, lag, ln, roll
 
 def _column(name: str):
@@ -87,7 +88,7 @@ def bollinger(w):
 @family()
 def range_candle(w):
     rng = F.when(H() - L() != 0, H() - L())
-    return {"feat_high_low_range": div(H(), L()) - 1, "feat_close_open_ret": div(C(), O()) - 1, "feat_body_to_range": div(F.abs(C() - O()), rng), "feat_upper_wick": div(H() - F.greatest(O(), C()), rng), "feat_lower_wick": div(F.least(O(), C()) - L(), rng), "feat_close_position": div(C() - L(), rng), "feat_body_sign": F.signum(C() - O()), "feat_body_signed": div(C() - O(), rng)}
+    return {"feat_hl_range": div(H(), L()) - 1, "feat_oc_return": div(C(), O()) - 1, "feat_body_size_ratio": div(F.abs(C() - O()), rng), "feat_upper_wick_ratio": div(H() - F.greatest(O(), C()), rng), "feat_lower_wick_ratio": div(F.least(O(), C()) - L(), rng), "feat_close_position_in_range": div(C() - L(), rng), "feat_candle_direction": F.signum(C() - O()), "feat_body_signed_ratio": div(C() - O(), rng)}
 
 
 @family(5, 10, 20, 50, 100, 200)
@@ -245,9 +246,19 @@ def regime(w):
     return out
 
 
+def _chosen(families: dict | list | None) -> dict:
+    return families if isinstance(families, dict) else {n: FAMILIES[n][1] for n in (families or FAMILIES)}
+
+
+def look_back(families: dict | list | None = None) -> int:
+    """Rows behind that the families' frames reach at most: a window over a window, lags and the return before."""
+    return 2 * max([k for w in _chosen(families).values() for k in w] + [50]) + 10
+
+
+@blocked(lambda families=None: (look_back(families), 0))
 def features(bars: DataFrame, families: dict | list | None = None) -> DataFrame:
     """Bars with the columns of the families: all by default, with their own windows unless given."""
-    chosen = families if isinstance(families, dict) else {n: FAMILIES[n][1] for n in (families or FAMILIES)}
+    chosen = _chosen(families)
     rows = prepared(bars)
     extra = {}
     if "autocorrelation" in chosen:
@@ -266,7 +277,7 @@ def features(bars: DataFrame, families: dict | list | None = None) -> DataFrame:
 
 def ewm_features(bars: DataFrame, spans=(3, 5, 7, 11, 15, 27, 41, 77, 137), rsi=(7, 14, 21, 30)) -> DataFrame:
     """EMA, RSI and MACD; each value needs the one before, so a series runs in order in one task."""
-    names = [f"feat_ema_{k}" for k in spans] + [f"feat_close_ema_{k}_ratio" for k in spans] + ["feat_ema_3_5_spread"] * ({3, 5} <= set(spans)) + [n for k in rsi for n in (f"feat_rsi_{k}", f"feat_rsi_{k}_norm")] + ["feat_macd", "feat_macd_signal", "feat_macd_hist"]
+    names = [f"feat_ema_{k}" for k in spans] + [f"feat_close_ema_{k}_ratio" for k in spans] + ["feat_ema_3_5_spread"] * ({3, 5} <= set(spans)) + [n for k in rsi for n in (f"feat_rsi_{k}", f"feat_rsi_{k}_norm")] + ["feat_macd", "feat_macd_signal", "feat_macd_hist", "feat_macd_close_ratio", "feat_macd_hist_close_ratio"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp_utc_ms", ignore_index=True)
@@ -285,6 +296,8 @@ def ewm_features(bars: DataFrame, spans=(3, 5, 7, 11, 15, 27, 41, 77, 137), rsi=
         macd = c.ewm(span=12, adjust=False, min_periods=12).mean() - c.ewm(span=26, adjust=False, min_periods=26).mean()
         out["feat_macd"], out["feat_macd_signal"] = macd, macd.ewm(span=9, adjust=False, min_periods=9).mean()
         out["feat_macd_hist"] = out["feat_macd"] - out["feat_macd_signal"]
+        for name in ("feat_macd", "feat_macd_hist"):
+            out[f"{name}_close_ratio"] = out[name] / c.where(c != 0)
         return out[["series_id", "timestamp_utc_ms", *names]]
 
     schema = "series_id string, timestamp_utc_ms long, " + ", ".join(f"{n} double" for n in names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rolling import div, lag, ln
+from ..functions.rolling import div, lag
 
 #: Least rows by timeframe.
 MIN_ROWS = {"7D": 40, "3D": 80, "1D": 180}
@@ -15,11 +15,11 @@ def min_rows(timeframe: str, odd: bool = False) -> int:
     return MIN_ROWS.get(timeframe, 200 if odd else 300)
 
 
-def audit(bars: DataFrame, step_ms: int, gap: float = 1.5, outlier: float = 0.2) -> DataFrame:
-    """One row a series: nulls, adjacent duplicates, disorder, gaps, bad prices, outliers; one window, one aggregate."""
+def audit(bars: DataFrame, step_ms: int, gap: float = 1.5, outlier: float = 0.5) -> DataFrame:
+    """One row a series: nulls, adjacent duplicates, disorder, gaps, bad prices, simple returns beyond ``outlier``; one window, one aggregate."""
     t = F.col("timestamp_utc_ms")
     d = t - lag(t)
-    x = bars.withColumn("_d", d).withColumn("_r", ln(F.col("close")) - lag(ln(F.col("close"))))
+    x = bars.withColumn("_d", d).withColumn("_r", div(F.col("close"), lag(F.col("close"))) - 1)
     n = lambda c: F.count(F.when(c, 1))
     bad = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high")) | (F.least("open", "high", "low", "close") <= 0)
     out = x.groupBy("series_id").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.blocks import in_blocks
 from ..operators import features as feat
 from ..operators import labels as lab
 from ..sources import bars as src
@@ -65,8 +66,9 @@ def _barriers(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, features, labels and a summary per series."""
-    rows = feat.features(src.bars(spark, sf_dir), {"returns": (1,), "volatility": (7,), "sma": (7,)})
-    rows = lab.directional(lab.forward_returns(rows, (5,)), (5,), (25,))
+    families = {"returns": (1,), "volatility": (7,), "sma": (7,)}
+    both = lambda b: lab.directional(lab.forward_returns(feat.features(b, families), (5,)), (5,), (25,))
+    rows = in_blocks(src.bars(spark, sf_dir), both, feat.look_back(families), 5)
     net = F.col("label_fwd_ret_net_long_bps_h5")
     out = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label_dir_h5_thr25bps") == 1.0).cast("int")).alias("hit_rate"), F.avg(net).alias("mean_net_bps"), F.avg("feat_rv_std_7").alias("mean_rv_7"), F.avg("feat_close_sma_7_ratio").alias("mean_sma_ratio"))
     return rounded(out, 4)
@@ -91,6 +93,6 @@ def oracle_sql() -> dict[str, str]:
     out["label_triple_barrier"] = oracle.barrier_sql(lab.barrier_grid())
     f = oracle
     gross = f"({f.div(f.lead('close', 5), 'close')} - 1)"
-    out["flagship"] = f"""WITH {f.bars_sql()}, {f.PREPARED}, d AS (SELECT *, {f.roll('stddev_samp', 'r', 7)} AS rv, {f.div('close', f.roll('avg', 'close', 7))} - 1 AS sr, ({gross} - 0.0035) * 1e4 AS net, CASE WHEN {gross} * 1e4 - 35.0 >= 25 THEN 1 ELSE 0 END AS hit FROM c)
+    out["flagship"] = f"""WITH {f.bars_sql()}, {f.PREPARED}, d AS (SELECT *, {f.roll('stddev_samp', 'r', 7)} AS rv, {f.div('close', f.roll('avg', 'close', 7))} - 1 AS sr, ({gross} - 0.0035) * 1e4 AS net, CASE WHEN {gross} - 0.002 - 0.0015 > 0.0025 THEN 1 ELSE 0 END AS hit FROM c)
 SELECT series_id, count(*) AS n, round(avg(hit), 4) + 0.0 AS hit_rate, round(avg(net), 4) + 0.0 AS mean_net_bps, round(avg(rv), 4) + 0.0 AS mean_rv_7, round(avg(sr), 4) + 0.0 AS mean_sma_ratio FROM d GROUP BY series_id"""
     return out | research.oracle_sql() | extra.oracle_sql() | more.oracle_sql()

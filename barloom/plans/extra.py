@@ -156,7 +156,7 @@ SELECT series_id, timestamp_utc_ms, round(CASE reason WHEN 'STOP_LOSS_CONSERVATI
 r AS (SELECT *, irregular_delta_count / total_deltas AS ir, large_gap_count / total_deltas AS lr FROM a)
 SELECT * EXCLUDE (ir, lr), round(ir, 6) + 0.0 AS irregular_ratio, round(lr, 6) + 0.0 AS large_gap_ratio, CASE WHEN total_deltas < 1 OR lr > 0.01 OR ir > 0.05 THEN 'FAIL' WHEN irregular_delta_count + large_gap_count > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM r""",
         "rows_preserved": true_rows(*((n, "TRUE") for n in ("no_row_lost", "no_row_added", "same_multiplicity", "same_values"))),
-        "labels_audited": f"""WITH {b}, l AS (SELECT CASE WHEN ({o.div(o.lead('close', 3), 'close')} - 1) * 1e4 - 35.0 >= 25 THEN 1.0 WHEN -({o.div(o.lead('close', 3), 'close')} - 1) * 1e4 - 35.0 >= 25 THEN -1.0 ELSE 0.0 END AS a, {g5} AS c FROM bars),
+        "labels_audited": f"""WITH {b}, l AS (SELECT {o.net_label(3, 25)} AS a, {g5} AS c FROM bars),
 u AS (SELECT 'label_dir_h3_thr25bps' AS label, CAST(a AS DOUBLE) AS v FROM l UNION ALL SELECT 'label_fwd_ret_gross_long_h5', c FROM l),
 s AS (SELECT label, count(*) AS rows, count(*) - count(v) AS null_count, count(*) FILTER (isinf(v)) AS inf_count, round(min(v), 5) + 0.0 AS low, round(max(v), 5) + 0.0 AS high FROM u GROUP BY 1)
 SELECT *, round(null_count / rows, 5) + 0.0 AS null_ratio, CASE WHEN inf_count > 0 OR null_count = rows THEN 'FAIL' WHEN low = high THEN 'WARNING' ELSE 'PASS' END AS status FROM s""",

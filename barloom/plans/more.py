@@ -149,7 +149,7 @@ a AS (SELECT series_id, count(*) AS rows, count(*) FILTER (d > 1.5 * {STEP}) AS
 f AS (SELECT *, rows < 300 AS short, gap_count > 0 AS gaps, return_outlier_count > 0 AS jumps, gap_count / rows > 0.001 AS gb, return_outlier_count / rows > 0.001 AS jb FROM a)"""
     lr = "ln(close)"
     five = f"({o.div(o.lead('close', 5), 'close')} - 1)"
-    dir_ = lambda h, t: f"CASE WHEN ({o.div(o.lead('close', h), 'close')} - 1) * 1e4 - 35.0 >= {t} THEN 1 WHEN -({o.div(o.lead('close', h), 'close')} - 1) * 1e4 - 35.0 >= {t} THEN -1 ELSE 0 END"
+    dir_ = o.net_label
     bits = lambda w: " + ".join(f"CASE WHEN avg(CAST(sign(r) = {k} AS INT)) OVER {o.frame(1 - w, 0)} > 0 THEN -avg(CAST(sign(r) = {k} AS INT)) OVER {o.frame(1 - w, 0)} * log2(avg(CAST(sign(r) = {k} AS INT)) OVER {o.frame(1 - w, 0)}) ELSE 0 END" for k in (-1, 0, 1))
     i = "range * 1.0"
     taken = research.oracle_sql()["curve"].split(", e AS (")[0]

@@ -66,7 +66,7 @@ def family_columns(name: str, w: tuple) -> dict[str, str]:
     if name == "return_lags":
         out = {f"feat_ret_log_1_lag_{k}": lag("r", k) for k in w}
     if name == "range_candle":
-        out = {"feat_high_low_range": f"{div('high', 'low')} - 1", "feat_close_open_ret": f"{div('close', 'open')} - 1", "feat_body_to_range": f"abs(close - open) / {rg}", "feat_upper_wick": f"(high - greatest(open, close)) / {rg}", "feat_lower_wick": f"(least(open, close) - low) / {rg}", "feat_close_position": f"(close - low) / {rg}", "feat_body_sign": "CAST(sign(close - open) AS DOUBLE)", "feat_body_signed": f"(close - open) / {rg}"}
+        out = {"feat_hl_range": f"{div('high', 'low')} - 1", "feat_oc_return": f"{div('close', 'open')} - 1", "feat_body_size_ratio": f"abs(close - open) / {rg}", "feat_upper_wick_ratio": f"(high - greatest(open, close)) / {rg}", "feat_lower_wick_ratio": f"(least(open, close) - low) / {rg}", "feat_close_position_in_range": f"(close - low) / {rg}", "feat_candle_direction": "CAST(sign(close - open) AS DOUBLE)", "feat_body_signed_ratio": f"(close - open) / {rg}"}
     if name == "volume":
         out = {"feat_log_volume": "lv", "feat_log1p_volume": "ln(1 + volume)", "feat_volume_ret_1": f"lv - {lag('lv')}"}
     if name == "atr":
@@ -153,43 +153,62 @@ def oscillators_sql(w: tuple, cci: tuple, digits: int) -> str:
     return f"WITH {bars_sql()}, {PREPARED}, d AS (SELECT *, {lists} FROM c), e AS (SELECT *, {means} FROM d), f AS (SELECT *, {inner} FROM e) SELECT series_id, timestamp_utc_ms, {final} FROM f"
 
 
+def net_label(h: int, t: float) -> str:
+    """1, -1 or 0: the return of h bars less 20 and 15 bps, above t bps, below -t, or else."""
+    net = f"({div(lead('close', h), 'close')} - 1 - 0.002 - 0.0015)"
+    return f"CASE WHEN {net} > {t / 1e4} THEN 1.0 WHEN {net} < {-t / 1e4} THEN -1.0 ELSE 0.0 END"
+
+
 def labels_sql(name: str) -> str:
     gross = {h: f"({div(lead('close', h), 'close')} - 1)" for h in (1, 3, 5, 10, 20)}
     cols: dict[str, str] = {}
     if name == "forward_returns":
         for h in (1, 5, 20):
-            cols |= {f"label_fwd_ret_gross_long_h{h}": gross[h], f"label_fwd_ret_gross_short_h{h}": f"-{gross[h]}", f"label_fwd_ret_net_long_h{h}": f"{gross[h]} - 0.0035", f"label_fwd_ret_net_short_h{h}": f"-{gross[h]} - 0.0035", f"label_fwd_ret_net_long_bps_h{h}": f"({gross[h]} - 0.0035) * 1e4", f"label_fwd_log_ret_h{h}": f"ln({lead('close', h)}) - ln(close)"}
+            short = f"(1 - {div(lead('close', h), 'close')})"
+            for kind, cost in (("gross", ""), ("net", " - 0.0035")):
+                for side, g in (("long", gross[h]), ("short", short)):
+                    cols |= {f"label_fwd_ret_{kind}_{side}_h{h}": f"{g}{cost}", f"label_fwd_ret_{kind}_{side}_bps_h{h}": f"({g}{cost}) * 1e4"}
+            cols[f"label_fwd_logret_h{h}"] = f"ln({div(lead('close', h), 'close')})"
     if name == "directional":
         for h in (3, 5):
-            for t in (5, 25, 100):
-                cols[f"label_dir_h{h}_thr{t}bps"] = f"CASE WHEN {gross[h]} * 1e4 - 20.0 - 15.0 >= {t} THEN 1.0 WHEN -({gross[h]} * 1e4) - 20.0 - 15.0 >= {t} THEN -1.0 ELSE 0.0 END"
+            cols[f"label_dir_net_ret_bps_h{h}"] = f"({gross[h]} - 0.002 - 0.0015) * 1e4"
+            cols |= {f"label_dir_h{h}_thr{t}bps": net_label(h, t) for t in (5, 25, 100)}
     if name == "trend_regime":
-        for t in (10, 50):
-            cols[f"label_trend_h10_{t}bps"] = f"CASE WHEN {gross[10]} * 1e4 >= {t} THEN 1.0 WHEN {gross[10]} * 1e4 <= -{t} THEN -1.0 ELSE 0.0 END"
+        cols["label_future_trend_ret_bps_h10"] = f"{gross[10]} * 1e4"
+        for t in (25, 50, 100):
+            cols[f"label_future_trend_regime_h10_thr{t}bps"] = f"CASE WHEN {gross[10]} * 1e4 > {t} THEN 1.0 WHEN {gross[10]} * 1e4 < -{t} THEN -1.0 ELSE 0.0 END"
     if name == "path_extremes":
         for h in (5, 20):
             hi, lo = f"max(high) OVER {frame(1, h)}", f"min(low) OVER {frame(1, h)}"
-            up, down = f"({div(hi, 'close')} - 1)", f"({div(lo, 'close')} - 1)"
-            rr = div(up, f"abs({down})")
-            cols |= {f"label_mfe_long_h{h}": up, f"label_mae_long_h{h}": down, f"label_mfe_short_h{h}": f"-{down}", f"label_mae_short_h{h}": f"-{up}", f"label_range_bps_h{h}": f"{div(f'{hi} - {lo}', 'close')} * 1e4", f"label_future_rr_long_h{h}": rr, f"label_future_rr_long_h{h}_gt_1": flag(f"{rr} > 1"), f"label_tail_up_h{h}_100bps": flag(f"{up} * 1e4 >= 100"), f"label_tail_down_h{h}_100bps": flag(f"{down} * 1e4 <= -100")}
+            own = {"mfe_long": f"{div(hi, 'close')} - 1", "mae_long": f"{div(lo, 'close')} - 1", "mfe_short": f"1 - {div(lo, 'close')}", "mae_short": f"1 - {div(hi, 'close')}"}
+            cols |= {f"label_future_{n}_h{h}": x for n, x in own.items()} | {f"label_future_{n}_bps_h{h}": f"({x}) * 1e4" for n, x in own.items()}
+            cols |= {f"label_future_close_ret_bps_h{h}": f"{gross[h]} * 1e4", f"label_future_range_bps_h{h}": f"({div(hi, lo)} - 1) * 1e4"}
     if name == "quantile_bucket":
         f = frame(-999, 0)
-        q = [f"quantile_cont(f, {p}) OVER {f}" for p in (0.1, 0.3, 0.7, 0.9)]
-        ok = f"count(f) OVER {f} >= 200"
-        return f"WITH {bars_sql()}, a AS (SELECT *, {gross[10]} AS f FROM bars) SELECT series_id, timestamp_utc_ms, CASE WHEN f IS NULL THEN NULL WHEN {ok} AND f <= {q[0]} THEN -2.0 WHEN {ok} AND f <= {q[1]} THEN -1.0 WHEN {ok} AND f >= {q[3]} THEN 2.0 WHEN {ok} AND f >= {q[2]} THEN 1.0 ELSE 0.0 END AS label_quantile_h10 FROM a"
+        at = {p: f"CASE WHEN count(f) OVER {f} >= 200 THEN quantile_cont(f, {p}) OVER {f} END" for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
+        qs = ", ".join(f"{x} AS q{round(100 * p)}" for p, x in at.items())
+        shown = ", ".join(f"round(q{round(100 * p)}, 6) + 0.0 AS label_fwd_ret_h10_rolling_q{round(100 * p)}" for p in at)
+        return f"""WITH {bars_sql()}, a AS (SELECT *, {gross[10]} AS f FROM bars), b AS (SELECT *, {qs} FROM a)
+SELECT series_id, timestamp_utc_ms, round(f, 6) + 0.0 AS label_fwd_ret_for_quantile_h10, {shown}, CASE WHEN f IS NULL THEN NULL WHEN f >= q90 THEN 2.0 WHEN f >= q75 AND f < q90 THEN 1.0 WHEN f > q10 AND f <= q25 THEN -1.0 WHEN f <= q10 THEN -2.0 ELSE 0.0 END AS label_fwd_ret_quantile_bucket_h10 FROM b"""
     if name == "future_volatility":
         f, g = frame(1, 10), frame(-999, 0)
+        above = lambda p: f"count(v) OVER {g} >= 200 AND v > quantile_cont(v, {p}) OVER {g}"
         return f"""WITH {bars_sql()}, a AS (SELECT *, ln(close) - {lag('ln(close)')} AS r FROM bars), b AS (SELECT *, CASE WHEN count(r) OVER {f} >= 3 THEN stddev_samp(r) OVER {f} END AS v FROM a)
-SELECT series_id, timestamp_utc_ms, round(v, 6) + 0.0 AS label_future_rv_h10, round(v * {math.sqrt(365 * 24)}, 6) + 0.0 AS label_future_rv_ann_h10, CASE WHEN count(v) OVER {g} >= 200 AND v >= quantile_cont(v, 0.9) OVER {g} THEN 2.0 WHEN count(v) OVER {g} >= 200 AND v >= quantile_cont(v, 0.75) OVER {g} THEN 1.0 ELSE 0.0 END AS label_future_vol_regime_h10 FROM b"""
+SELECT series_id, timestamp_utc_ms, round(v, 6) + 0.0 AS label_future_rv_h10, round(v * {math.sqrt(365 * 24)}, 6) + 0.0 AS label_future_rv_ann_h10, round(v * 1e4, 6) + 0.0 AS label_future_rv_bps_h10, CASE WHEN {above(0.9)} THEN 2.0 WHEN {above(0.75)} THEN 1.0 ELSE 0.0 END AS label_future_vol_regime_h10 FROM b"""
     final = ", ".join(f"round({v}, 6) + 0.0 AS {k}" for k, v in cols.items())
     return f"WITH {bars_sql()} SELECT series_id, timestamp_utc_ms, {final} FROM bars"
 
 
-def barrier_sql(configs: list[dict]) -> str:
+def barrier_sql(configs: list[dict], width: str = "CAST(1 AS DOUBLE)", floor: float = 0.001) -> str:
+    """Every bar, configuration and side against its bars ahead; ``width`` is an expression over bars, null before it is known."""
     values = ", ".join(f"('{c['config_id']}', CAST({c['stop']} AS DOUBLE), CAST({c['take']} AS DOUBLE), {c['horizon']}, '{s}')" for c in configs for s in ("long", "short"))
-    return f"""WITH {bars_sql()}, n AS (SELECT *, row_number() OVER {W} AS k FROM bars), g(config_id, stop, take, h, side) AS (VALUES {values}),
-x AS (SELECT n.series_id, n.timestamp_utc_ms, n.k, n.close, g.*, CASE side WHEN 'long' THEN close * (1 - stop) ELSE close * (1 + stop) END AS sl, CASE side WHEN 'long' THEN close * (1 + take) ELSE close * (1 - take) END AS tp FROM n, g),
-j AS (SELECT x.series_id, x.timestamp_utc_ms, x.close, config_id, side, sl, tp, max(p.k) - x.k AS len, min(CASE WHEN (side = 'long' AND p.low <= sl) OR (side = 'short' AND p.high >= sl) THEN p.k - x.k END) AS i, min(CASE WHEN (side = 'long' AND p.high >= tp) OR (side = 'short' AND p.low <= tp) THEN p.k - x.k END) AS t, arg_max(p.close, p.k) AS lastc, x.k FROM x LEFT JOIN n p ON p.series_id = x.series_id AND p.k > x.k AND p.k <= x.k + x.h GROUP BY x.series_id, x.timestamp_utc_ms, x.close, config_id, side, sl, tp, x.k),
-r AS (SELECT *, CASE WHEN len IS NULL THEN '' WHEN i IS NOT NULL AND (t IS NULL OR i <= t) THEN 'stop_loss' WHEN t IS NOT NULL THEN 'take_profit' ELSE 'time_exit' END AS event FROM j),
-e AS (SELECT *, CASE event WHEN '' THEN NULL WHEN 'stop_loss' THEN sl WHEN 'take_profit' THEN tp ELSE lastc END AS px, CASE event WHEN 'stop_loss' THEN i WHEN 'take_profit' THEN t WHEN 'time_exit' THEN len END AS hold FROM r)
-SELECT e.series_id, e.timestamp_utc_ms, config_id, side, CASE event WHEN '' THEN NULL WHEN 'stop_loss' THEN -1.0 WHEN 'take_profit' THEN 1.0 ELSE 0.0 END AS label, event, CAST(hold AS INTEGER) AS holding_bars, round(px, 6) AS exit_price, round(CASE side WHEN 'long' THEN px / e.close - 1 ELSE 1 - px / e.close END, 6) + 0.0 AS gross_return, p.timestamp_utc_ms AS exit_timestamp_utc_ms FROM e LEFT JOIN n p ON p.series_id = e.series_id AND p.k = e.k + e.hold"""
+    wide = lambda x: f"CASE WHEN width IS NULL THEN NULL WHEN {x} * width < {floor} THEN {floor} ELSE {x} * width END"
+    return f"""WITH {bars_sql()}, tr AS (SELECT *, greatest(high - low, coalesce(abs(high - {lag('close')}), 0), coalesce(abs(low - {lag('close')}), 0)) AS tr FROM bars),
+n AS (SELECT *, row_number() OVER {W} AS k, {width} AS width FROM tr), g(config_id, stop, take, h, side) AS (VALUES {values}),
+y AS (SELECT n.series_id, n.timestamp_utc_ms, n.k, n.close, n.width, g.config_id, g.h, g.side, {wide('stop')} AS stop, {wide('take')} AS take FROM n, g),
+x AS (SELECT *, CASE side WHEN 'long' THEN close * (1 - stop) ELSE close * (1 + stop) END AS sl, CASE side WHEN 'long' THEN close * (1 + take) ELSE close * (1 - take) END AS tp FROM y),
+j AS (SELECT x.series_id, x.timestamp_utc_ms, x.close, config_id, side, stop, take, sl, tp, CASE WHEN any_value(x.width) IS NOT NULL THEN max(p.k) - x.k END AS len, min(CASE WHEN (side = 'long' AND p.low <= sl) OR (side = 'short' AND p.high >= sl) THEN p.k - x.k END) AS i, min(CASE WHEN (side = 'long' AND p.high >= tp) OR (side = 'short' AND p.low <= tp) THEN p.k - x.k END) AS t, arg_max(p.close, p.k) AS lastc, max(p.high) / x.close - 1 AS up, min(p.low) / x.close - 1 AS down, x.k FROM x LEFT JOIN n p ON p.series_id = x.series_id AND p.k > x.k AND p.k <= x.k + x.h GROUP BY x.series_id, x.timestamp_utc_ms, x.close, config_id, side, stop, take, sl, tp, x.k),
+r AS (SELECT *, CASE WHEN len IS NULL THEN '' WHEN i IS NOT NULL AND (t IS NULL OR i <= t) THEN 'stop_loss' WHEN t IS NOT NULL THEN 'take_profit' ELSE 'time' END AS event FROM j),
+e AS (SELECT *, CASE event WHEN '' THEN NULL WHEN 'stop_loss' THEN sl WHEN 'take_profit' THEN tp ELSE lastc END AS px, CASE event WHEN 'stop_loss' THEN i WHEN 'take_profit' THEN t WHEN 'time' THEN len END AS hold FROM r)
+SELECT e.series_id, e.timestamp_utc_ms, config_id, side, CASE event WHEN '' THEN NULL WHEN 'stop_loss' THEN -1.0 WHEN 'take_profit' THEN 1.0 ELSE 0.0 END AS label, event, CAST(hold AS INTEGER) AS holding_bars, round(px, 6) AS exit_price, round(CASE side WHEN 'long' THEN px / e.close - 1 ELSE 1 - px / e.close END, 6) + 0.0 AS gross_return, p.timestamp_utc_ms AS exit_timestamp_utc_ms,
+round(CASE WHEN event = '' THEN NULL WHEN side = 'long' THEN up ELSE -down END, 6) + 0.0 AS mfe, round(CASE WHEN event = '' THEN NULL WHEN side = 'long' THEN down ELSE -up END, 6) + 0.0 AS mae, round(tp, 6) + 0.0 AS tp_level, round(sl, 6) + 0.0 AS sl_level, round(take * 1e4, 6) + 0.0 AS tp_barrier_bps, round(stop * 1e4, 6) + 0.0 AS sl_barrier_bps FROM e LEFT JOIN n p ON p.series_id = e.series_id AND p.k = e.k + e.hold"""

@@ -176,7 +176,7 @@ def experiment_registry(spark, d):
 
 def barrier_vol(spark, d):
     x = labels.barrier_width(_bars(spark, d), "atr", 14)
-    out = labels.triple_barrier(x.where(F.col("width").isNotNull()), labels.barrier_grid("atr", (1.0,), (1.5,), (8,)), "width")
+    out = labels.triple_barrier(x, labels.barrier_grid("atr", (1.0,), (1.5,), (8,)), "width")
     return out.groupBy("series_id", "side", "event").agg(F.count(F.lit(1)).alias("n"), F.sum("holding_bars").alias("bars"))
 
 
@@ -196,16 +196,15 @@ t AS (SELECT *, (exit_price / entry_price - 1) * 1e4 * side AS gross, (exit_pric
 f AS (SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY series_id ORDER BY n ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown, sum(CASE WHEN net_bps > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS wins FROM e)"""
     scen = ", ".join(f"('{n}', {f}, {s}, {u}, {x})" for n, f, s, u, x in portfolio.SCENARIOS)
     d = f"timestamp_utc_ms - lag(timestamp_utc_ms) OVER {w}"
-    gross = f"({o.div(o.lead('close', 3), 'close')} - 1) * 1e4"
-    lab = lambda t: f"CASE WHEN {gross} - 35.0 >= {t} THEN 1.0 WHEN -({gross}) - 35.0 >= {t} THEN -1.0 ELSE 0.0 END"
+    lab = lambda t: o.net_label(3, t)
     g5 = f"({o.div(o.lead('close', 5), 'close')} - 1)"
     out = {
         "clean_bars": f"WITH {b}, x AS (SELECT series_id, timestamp_utc_ms, open, high, CASE WHEN timestamp_utc_ms // 3600000 % 7 = 0 THEN high + 1 ELSE low END AS low, CASE WHEN timestamp_utc_ms // 3600000 % 11 = 0 THEN -1.0 ELSE close END AS close, volume FROM bars) SELECT series_id, timestamp_utc_ms, {ohlcv} FROM x WHERE least(open, high, low, close) > 0 AND high >= greatest(open, close, low) AND low <= least(open, close, high) AND volume >= 0",
         "upsert_bars": f"WITH {b}, x AS (SELECT series_id, timestamp_utc_ms, CASE WHEN timestamp_utc_ms >= 1704456000000 THEN 2 ELSE 1 END AS m, * EXCLUDE (series_id, timestamp_utc_ms) FROM bars) SELECT series_id, timestamp_utc_ms, round(open * m, 6) + 0.0 AS open, round(high * m, 6) + 0.0 AS high, round(low * m, 6) + 0.0 AS low, round(close * m, 6) + 0.0 AS close, round(volume, 6) + 0.0 AS volume FROM x",
         "timestamp_units": f"WITH {b} SELECT series_id, timestamp_utc_ms, CASE WHEN length(series_id) % 4 = 0 THEN CAST(round(timestamp_utc_ms * 0.001) * 1000 AS BIGINT) ELSE timestamp_utc_ms END AS normalised_ms FROM bars",
         "overlap": f"WITH {b} SELECT series_id, max(timestamp_utc_ms) - 60 * 3600000 AS from_ms FROM bars GROUP BY 1",
-        "audit": f"""WITH {b}, x AS (SELECT *, {d} AS d, ln(close) - lag(ln(close)) OVER {w} AS r FROM bars),
-a AS (SELECT series_id, count(*) AS rows, count(*) FILTER (close IS NULL OR open IS NULL) AS null_rows, count(*) FILTER (d = 0) AS duplicate_count, count(*) FILTER (d > 5400000) AS gap_count, count(*) FILTER (d > 0 AND abs(d - 3600000) > 3600) AS irregular_count, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high) OR least(open, high, low, close) <= 0) AS invalid_ohlc, count(*) FILTER (volume < 0) AS negative_volume, count(*) FILTER (abs(r) > 0.2) AS return_outlier_count, min(timestamp_utc_ms) AS first_ms, max(timestamp_utc_ms) AS last_ms, median(CASE WHEN d > 0 THEN d END) + 0.0 AS median_delta_ms FROM x GROUP BY 1)
+        "audit": f"""WITH {b}, x AS (SELECT *, {d} AS d, {o.div('close', o.lag('close'))} - 1 AS r FROM bars),
+a AS (SELECT series_id, count(*) AS rows, count(*) FILTER (close IS NULL OR open IS NULL) AS null_rows, count(*) FILTER (d = 0) AS duplicate_count, count(*) FILTER (d > 5400000) AS gap_count, count(*) FILTER (d > 0 AND abs(d - 3600000) > 3600) AS irregular_count, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high) OR least(open, high, low, close) <= 0) AS invalid_ohlc, count(*) FILTER (volume < 0) AS negative_volume, count(*) FILTER (abs(r) > 0.5) AS return_outlier_count, min(timestamp_utc_ms) AS first_ms, max(timestamp_utc_ms) AS last_ms, median(CASE WHEN d > 0 THEN d END) + 0.0 AS median_delta_ms FROM x GROUP BY 1)
 SELECT *, round(gap_count / rows, 6) + 0.0 AS gap_ratio, round(return_outlier_count / rows, 6) + 0.0 AS outlier_ratio, array_to_string(list_filter([CASE WHEN duplicate_count > 0 THEN 'duplicate_timestamps' END, CASE WHEN gap_count > 0 THEN 'gaps' END, CASE WHEN irregular_count > 0 THEN 'irregular' END, CASE WHEN return_outlier_count > 0 THEN 'return_outliers' END], lambda v: v IS NOT NULL), ' | ') AS warnings,
 CASE WHEN invalid_ohlc + null_rows + negative_volume > 0 THEN 'FAIL' WHEN duplicate_count + gap_count + irregular_count + return_outlier_count > 0 THEN 'WARNING' ELSE 'PASS' END AS status,
 CASE WHEN null_rows > 0 THEN 'NULLS' WHEN invalid_ohlc > 0 THEN 'INVALID_OHLC' WHEN negative_volume > 0 THEN 'NEGATIVE_VOLUME' WHEN duplicate_count > 0 THEN 'DUPLICATES' WHEN gap_count > 0 THEN 'GAPS' WHEN return_outlier_count > 0 THEN 'OUTLIERS' WHEN irregular_count > 0 THEN 'IRREGULAR' ELSE 'NONE' END AS root_cause,
@@ -218,7 +217,7 @@ CASE WHEN invalid_ohlc + null_rows + negative_volume > 0 OR rows < 300 OR gap_co
         "names": """WITH s AS (SELECT DISTINCT event_type AS series_id FROM events WHERE value > 0), p AS (SELECT series_id, ['15min', '4h', '1d'][length(series_id) % 3 + 1] AS timeframe, upper(series_id) AS asset FROM s), q AS (SELECT *, 'data/ohlcv/binance/' || asset || 'USDT_' || timeframe || '.parquet' AS path FROM p)
 SELECT series_id, path, 'ohlcv' AS kind, asset || 'USDT' AS symbol, asset, timeframe, 'ohlcv__binance__' || asset || '__' || asset || 'USDT__' || timeframe || '__' || substr(sha256(path), 1, 8) AS series_key FROM q""",
         "linspace": f"WITH {b}, x AS (SELECT *, row_number() OVER {w} - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM bars) SELECT series_id, timestamp_utc_ms, round(close, 6) AS close FROM x WHERE i IN (SELECT j * (x.n - 1) // 10 FROM range(11) g(j))",
-        "dataset_rows": f"""WITH {b}, x AS (SELECT *, ln(close) AS lc, ln(close) - lag(ln(close)) OVER {w} AS r FROM bars), y AS (SELECT *, lc - lag(lc, 5) OVER {w} AS r5, {o.roll('stddev_samp', 'r', 7)} AS v, CASE WHEN {g5} * 1e4 - 35.0 >= 25 THEN 1.0 WHEN -{g5} * 1e4 - 35.0 >= 25 THEN -1.0 ELSE 0.0 END AS l FROM x)
+        "dataset_rows": f"""WITH {b}, x AS (SELECT *, ln(close) AS lc, ln(close) - lag(ln(close)) OVER {w} AS r FROM bars), y AS (SELECT *, lc - lag(lc, 5) OVER {w} AS r5, {o.roll('stddev_samp', 'r', 7)} AS v, {o.net_label(5, 25)} AS l FROM x)
 SELECT y.series_id, y.timestamp_utc_ms, round(y.r, 6) + 0.0 AS feat_ret_log_1, round(y.r5, 6) + 0.0 AS feat_ret_log_5, round(y.v, 6) + 0.0 AS feat_rv_std_7, CAST(y.l AS DOUBLE) AS label_dir_h5_thr25bps, round(z.r, 6) + 0.0 AS xasset_view_feat_ret_log_1, round(z.r5, 6) + 0.0 AS xasset_view_feat_ret_log_5, CASE y.series_id WHEN 'click' THEN 12.0 ELSE 20.0 END + 0.0 AS cost_fee_bps, CASE y.series_id WHEN 'click' THEN 12.0 ELSE 15.0 END + 0.0 AS cost_slippage_bps, y.l IS NOT NULL AS is_trainable, 1.0 AS sample_weight FROM y LEFT JOIN y z ON z.series_id = 'view' AND z.timestamp_utc_ms = y.timestamp_utc_ms AND y.series_id <> 'view'""",
         "windows": f"WITH {b}, n AS (SELECT series_id, count(*) AS n FROM bars GROUP BY 1) SELECT series_id, CAST(k AS INTEGER) AS window_id, k * 100 AS train_start, k * 100 + 300 AS train_end, least(k * 100 + 400, n) AS test_end FROM n, range(0, 100000) g(k) WHERE k * 100 + 350 <= n",
         "trade_candidates": f"WITH {cand} SELECT series_id, timestamp_utc_ms, side, entry_ts, exit_ts, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price FROM cand",
@@ -230,4 +229,6 @@ SELECT series_id, count(*) AS trades, round(arg_max(equity, n) - 1, 4) + 0.0 AS
         "ranks": f"WITH {b}, x AS (SELECT *, {g5} AS g FROM bars) SELECT series_id, timestamp_utc_ms, CASE WHEN g IS NOT NULL THEN round(percent_rank() OVER (PARTITION BY timestamp_utc_ms ORDER BY g NULLS FIRST), 6) + 0.0 END AS label_fwd_ret_gross_long_h5_rank FROM x",
         "experiment_registry": f"WITH {cand}, m AS (SELECT series_id, count(*) AS trades FROM t WHERE series_id <> 'view' GROUP BY 1), n AS (SELECT series_id, count(*) AS rows FROM bars GROUP BY 1) SELECT series_id, 'exp_' || series_id AS experiment_id, trades, rows, CASE WHEN trades IS NULL THEN 'NO_BACKTEST' WHEN trades < 30 THEN 'FEW_TRADES' ELSE 'OK' END AS status, substr(sha256('exp_' || series_id || '|' || series_id), 1, 16) AS registry_hash FROM n LEFT JOIN m USING (series_id)",
     }
+    atr = o.div(o.roll("avg", "tr", 14), "close")
+    out["barrier_vol"] = f"SELECT series_id, side, event, count(*) AS n, CAST(sum(holding_bars) AS BIGINT) AS bars FROM ({o.barrier_sql(labels.barrier_grid('atr', (1.0,), (1.5,), (8,)), atr)}) GROUP BY 1, 2, 3"
     return out

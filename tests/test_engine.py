@@ -49,7 +49,7 @@ def test_barrier_stop_comes_first(spark):
     b = spark.createDataFrame(rows, "series_id string, timestamp_utc_ms long, open double, close double, high double, low double, volume double")
     out = {(r.side, r.timestamp_utc_ms): r for r in labels.triple_barrier(b, [{"config_id": "c", "stop": 0.05, "take": 0.05, "horizon": 3}]).collect()}
     assert out["long", 0].event == out["short", 1].event == "stop_loss"
-    assert out["long", 0].holding_bars == 2 and out["long", 2].event == "time_exit"
+    assert out["long", 0].holding_bars == 2 and out["long", 2].event == "time"
     assert out["long", 4].label is None and out["long", 4].event == ""
 
 
