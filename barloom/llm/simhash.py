@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw_texts, slices
+from .common import cut, own_column, raw_texts, slices
 from .graph import connected_components
 
 RADIUS = 3
@@ -52,15 +52,15 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+    """id, digest of the text and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches):
         for b in slices(batches):
             fp = np.fromiter((fingerprint(t) for t in raw_texts(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["id", "digest", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return df.select(own_column(id_col).alias("id"), own_column(text_col).alias("text"), F.xxhash64(own_column(text_col)).alias("digest")).mapInArrow(run, f"id {kind}, digest long, fp long")
 
 
 class BKTree:
@@ -189,20 +189,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty result.
     """
     prints = cut(fingerprints(df, id_col, text_col))
-    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("_least")))
-    roots = connected_components(fingerprint_links(distinct.select("fp")), "a", "b")
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    known = placed.join(least, "_root").select("fp", "component_id")
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("_least")))
+    placed = _placed(distinct)
+    least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
+    known = placed.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(known, "fp", "left").select(id_col, hexed.alias("fingerprint"), "component_id")
+    return prints.join(known, "fp", "left").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def _placed(distinct: DataFrame) -> DataFrame:
+    """The distinct fingerprints with the root of their component."""
+    roots = connected_components(fingerprint_links(distinct.select("fp")), "a", "b").withColumnRenamed("root", "_root")
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("_root", "fp").alias("root"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each component, all columns kept, once if its row is repeated.
 
-    Rows with a null id have no place in that order and stay.
+    Of different texts with that id, the one whose digest is smallest. Rows with a
+    null id have no place in that order and stay.
     """
-    first = near_duplicates(df, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
-    kept = df.join(first, F.col(id_col) == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    from .near_copies import first_of_each
+
+    prints = cut(fingerprints(df, id_col, text_col))
+    rooted = prints.join(_placed(cut(prints.select("fp").distinct())), "fp").select("id", "digest", "root")
+    return first_of_each(df, rooted, id_col, text_col)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from barloom.llm import decontamination, near_copies
+from barloom.llm import decontamination, near_copies, simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -81,3 +81,32 @@ def test_other_names_at_sentence_starts(spark):
     texts = [item, other(item), words(40) + ". " + other(only) + " " + words(20, 2), mixed, words(60, 3)]
     got = {(r.doc_id, r.item_id): r.exact for r in decontamination.find(docs(spark, texts), bench).collect()}
     assert got == {(0, 1): True, (1, 1): False, (2, 2): False}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _doc string, _first string, _spans string, kept_id string, kept_digest string, times string, root string, spans string, node string, `a.b` string"
+
+
+def test_pipeline_stages_with_nulls_repeated_ids_and_clashing_names(spark):
+    def row(i, text, lang="en"):
+        return (i, text, lang, None, 1, *["x"] * 10)
+
+    p, q = words(120, 40), words(90, 41)
+    edited = p.replace(p.split()[60], "other", 1)
+    rows = [row(1, p), row(2, edited), row(3, q), row(3, words(70, 42)), row(3, words(70, 42)), row(4, None), row(5, ""), row(None, words(60, 43), None), row(None, words(60, 43)), row(6, words(30, 44) + " " + p), row(7, "$$$")]
+    df = spark.createDataFrame(rows, ODD)
+    for near in (near_copies.one_of_each, simhash.one_of_each):
+        kept = near(df)
+        assert kept.columns == df.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert (3, q) in got and got.count((3, words(70, 42))) == 1 and got.count((None, words(60, 43))) == 2
+    assert (2, edited) not in [(r.doc_id, r.text) for r in near_copies.one_of_each(df).collect()]
+    empty = spark.createDataFrame([], ODD)
+    for table, least in ((df, 6), (empty, 0)):
+        docs_now = table
+        for _, stage in corpus_pipeline.STAGES[1:4]:
+            docs_now = stage(spark, docs_now, DATA)
+            assert docs_now.columns == df.columns
+        assert docs_now.count() >= least
+        coded = corpus_pipeline.STAGES[4][1](spark, docs_now, DATA)
+        assert coded.count() == docs_now.count()
+    assert corpus_pipeline.STAGES[0][1](spark, df, DATA).columns == df.columns
