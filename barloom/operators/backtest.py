@@ -7,7 +7,8 @@ one group a task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import itertools
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,27 +60,31 @@ def decided(cands: DataFrame, rules: Rules) -> DataFrame:
     return x.withColumn("_why", why).withColumn("_edge", F.abs(p - 0.5) * 1e4)
 
 
-def execute(cands: DataFrame, by: list[str], rules: Rules = Rules()) -> DataFrame:
+def execute(cands: DataFrame, by: list[str], rules: Rules = Rules(), found: dict[str, Rules] | None = None) -> DataFrame:
     """One row a signal: outcome TRADE with its size, costs and equity, or the reason why it is none.
 
     Needs the columns of ``decided`` and fixed_cost_bps, funding_bps and
     quote_volume. Of equal times, the earlier entry comes first. An exit stays at
     the horizon even where stop or target were met. After the switch fell, signals
-    later than the exit that did it are HALTED.
+    later than the exit that did it are HALTED. ``found``: the rules of each value
+    of the first column of ``by``, for ``search``.
     """
     kinds = dict(cands.dtypes)
     names = [*by, "timestamp_utc_ms", "outcome", "side", "entry_ts", "exit_ts", "exit_reason", "filled_notional", "gross_bps", "cost_bps", "net_bps", "pnl", "portfolio_return", "equity", "drawdown"]
     schema = ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", timestamp_utc_ms long, outcome string, side int, entry_ts long, exit_ts long, exit_reason string, filled_notional double, gross_bps double, cost_bps double, net_bps double, pnl double, portfolio_return double, equity double, drawdown double"
 
-    def sized(equity: float, volume: float) -> tuple[float, float]:
+    def sized(rules: Rules, equity: float, volume: float) -> tuple[float, float]:
         asked = min(equity * rules.risk * 1e4 / rules.stop_bps, equity * rules.most * max(rules.leverage, 1.0))
         if not volume > 0:
             return max(asked, 0.0) * rules.unknown_fill, rules.slippage_bps
         filled = max(asked, 0.0) * min(1.0, max(rules.least_fill, volume * rules.participation / asked if asked > 0 else 0.0))
         return filled, rules.slippage_bps + min(filled / volume, rules.participation) * rules.impact
 
+    common = rules
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["timestamp_utc_ms", "entry_ts"], ignore_index=True)
+        rules = found[pdf[by[0]].iloc[0]] if found else common
         equity = peak = rules.capital
         last_exit, halted, out = -1, None, []
 
@@ -96,7 +101,7 @@ def execute(cands: DataFrame, by: list[str], rules: Rules = Rules()) -> DataFram
             if why:
                 none(key, row, why)
                 continue
-            filled, slippage = sized(equity, row.quote_volume)
+            filled, slippage = sized(rules, equity, row.quote_volume)
             cost = row.fixed_cost_bps + slippage + row.funding_bps
             net = row.executed_bps - cost
             if filled <= 0:
@@ -118,10 +123,27 @@ def execute(cands: DataFrame, by: list[str], rules: Rules = Rules()) -> DataFram
         done = pd.DataFrame(out, columns=names)
         return done.astype({c: "Int64" for c in ("side", "entry_ts", "exit_ts")})
 
-    ready = decided(cands, rules).withColumnsRenamed({"_why": "why", "_edge": "edge"})
+    ready = decided(cands, replace(rules, **{f: F.col(f"_{f}") for f in SEARCHED}) if found else rules).withColumnsRenamed({"_why": "why", "_edge": "edge"})
     return ready.groupBy(*by).applyInPandas(run, schema)
 
 
+#: Rules that tell the configurations of a search apart before execution.
+SEARCHED = ("long_from", "short_to", "shorts", "stop_bps", "take_bps")
+
+
+def grid(base: Rules = Rules(), thresholds=(0.52, 0.55, 0.58, 0.60), stops=(50.0, 70.0, 100.0), takes=(70.0, 100.0, 150.0), shorts=(True, False), edges=(False,), leverages=(1.0,), most: int = 36) -> dict[str, Rules]:
+    """The first ``most`` configurations, by name; the last parameter changes fastest, and a short's threshold mirrors the long's."""
+    every = itertools.islice(itertools.product(thresholds, stops, takes, shorts, edges, leverages), most)
+    return {f"t{t:g}_s{s:g}_p{p:g}_{'both' if sh else 'long'}_{'edge' if e else 'any'}_x{x:g}": replace(base, long_from=t, short_to=1.0 - t, stop_bps=s, take_bps=p, shorts=sh, edge_over_cost=e, leverage=x) for t, s, p, sh, e, x in every}
+
+
+def search(cands: DataFrame, by: list[str], configs: dict[str, Rules]) -> DataFrame:
+    """``execute`` for every configuration, one group a configuration and group, in one pass over the candidates."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("config"), *(F.lit(getattr(r, f)).alias(f"_{f}") for f in SEARCHED)) for name, r in configs.items())))
+    x = cands.withColumn("_c", each).select("*", "_c.*").drop("_c")
+    return execute(x, ["config", *by], found=configs)
+
+
 def outcomes(executed: DataFrame, by: list[str]) -> DataFrame:
     """How many signals of each group came to what."""
     return executed.groupBy(*by, "outcome").agg(F.count(F.lit(1)).alias("signals"))

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import div, lead
 
-#: Factors on fee, slippage and funding, and extra bps, by scenario.
-SCENARIOS = (("BASE_REPLAY", 1.0, 1.0, 1.0, 0.0), ("FEES_X2", 2.0, 1.0, 1.0, 0.0), ("SLIPPAGE_X2", 1.0, 2.0, 1.0, 0.0), ("FUNDING_X3", 1.0, 1.0, 3.0, 0.0), ("ALL_X2", 2.0, 2.0, 2.0, 0.0), ("EXTRA_10BPS", 1.0, 1.0, 1.0, 10.0))
+#: Factors on fee, slippage, spread and impact, funding, and extra bps, by scenario.
+SCENARIOS = (
+    ("BASE_REPLAY", 1.0, 1.0, 1.0, 1.0, 0.0),
+    ("COSTS_150PCT", 1.5, 1.5, 1.5, 1.5, 0.0),
+    ("COSTS_200PCT", 2.0, 2.0, 2.0, 2.0, 0.0),
+    ("SLIPPAGE_SHOCK", 1.0, 3.0, 2.0, 1.0, 5.0),
+    ("FUNDING_SHOCK", 1.0, 1.0, 1.0, 4.0, 0.0),
+    ("WORST_REGIME_PROXY", 1.5, 2.0, 2.0, 2.0, 25.0),
+)
 
 
 def candidates(bars: DataFrame, signal: DataFrame, horizon: int, latency: int = 1) -> DataFrame:
@@ -85,9 +92,20 @@ def metrics(curve: DataFrame, by: list[str]) -> DataFrame:
     return agg.join(runs, by, "left").withColumn("longest_loss_run", F.coalesce("longest_loss_run", F.lit(0)))
 
 
-def stress(trades: DataFrame, by: list[str], scenarios=SCENARIOS) -> DataFrame:
-    """Net of scaled costs, summed over each group; the base scenario gives the trades' own results."""
-    s = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(f).alias("_f"), F.lit(sl).alias("_s"), F.lit(fu).alias("_u"), F.lit(x).alias("_x")) for n, f, sl, fu, x in scenarios)))
+def stress(trades: DataFrame, by: list[str], scenarios=SCENARIOS, capital: float = 10_000.0) -> DataFrame:
+    """Trades under scaled costs, and the equity they replay to.
+
+    ``trades`` have gross_bps, fee_bps, slippage_bps, spread_impact_bps, funding_bps
+    and notional; profits add up in order of exit. Drawdown is from the highest
+    equity, the capital at least. The base scenario gives the trades' own results.
+    """
+    names = ("_fee", "_slip", "_spread", "_fund", "_extra")
+    s = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), *(F.lit(v).alias(k) for k, v in zip(names, factors, strict=True))) for n, *factors in scenarios)))
     x = trades.withColumn("_c", s).select("*", "_c.*")
-    net = F.col("gross_bps") - F.col("fee_bps") * F.col("_f") - F.col("slippage_bps") * F.col("_s") - F.col("funding_bps") * F.col("_u") - F.col("_x")
-    return x.groupBy(*by, "scenario").agg(F.count(F.lit(1)).alias("trades"), F.sum(net).alias("net_bps_sum"), F.avg((net > 0).cast("int")).alias("win_rate"))
+    costs = sum((F.col(c) * F.col(k) for c, k in (("slippage_bps", "_slip"), ("spread_impact_bps", "_spread"), ("funding_bps", "_fund"))), F.col("fee_bps") * F.col("_fee"))
+    x = x.withColumn("_net", F.col("gross_bps") - F.col("_extra") - costs)
+    w = Window.partitionBy(*by, "scenario").orderBy("exit_ts", "entry_ts").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_eq", F.lit(capital) + F.sum(F.col("notional") * F.col("_net") / 1e4).over(w))
+    x = x.withColumn("_dd", div(F.col("_eq"), F.greatest(F.lit(capital), F.max("_eq").over(w))) - 1)
+    last = F.max_by("_eq", F.struct("exit_ts", "entry_ts"))
+    return x.groupBy(*by, "scenario").agg(F.count(F.lit(1)).alias("trades"), F.sum("_net").alias("net_bps_sum"), F.avg((F.col("_net") > 0).cast("int")).alias("win_rate"), (last / F.lit(capital) - 1).alias("total_return"), F.min("_dd").alias("max_drawdown"))

@@ -72,9 +72,9 @@ def evenly(df: DataFrame, k: int) -> DataFrame:
 
 
 def registry(experiments: DataFrame, metrics: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Experiments with their metrics and datasets, and a status."""
+    """Experiments with their metrics and datasets, and a hash of both ids; ``review_status`` tells what they wait for."""
     out = experiments.join(metrics, "experiment_id", "left").join(datasets, "series_id", "left")
-    return out.withColumn("status", F.when(F.col("trades").isNull(), "NO_BACKTEST").when(F.col("trades") < 30, "FEW_TRADES").otherwise("OK")).withColumn("registry_hash", F.substring(F.sha2(F.concat_ws("|", "experiment_id", "series_id"), 256), 1, 16))
+    return out.withColumn("registry_hash", F.substring(F.sha2(F.concat_ws("|", "experiment_id", "series_id"), 256), 1, 16))
 
 
 #: Column, the texts that don't stop it, and the status if it has another one; the first counts.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dataset, features, labels, portfolio, quality, registry
+from ..operators import backtest, dataset, features, labels, portfolio, quality, registry
 from ..sources import bars as src
 from . import oracle as o
 
@@ -141,7 +141,8 @@ def trade_metrics(spark, d):
 
 
 def stressed(spark, d):
-    return _r(portfolio.stress(all_candidates(spark, d), ["series_id"]), 3)
+    x = all_candidates(spark, d).withColumns({"spread_impact_bps": F.lit(4.0), "notional": F.lit(10.0)})
+    return _r(portfolio.stress(x, ["series_id"]), 3)
 
 
 def admitted(spark, d):
@@ -149,12 +150,19 @@ def admitted(spark, d):
     return _r(portfolio.admit(t, ["run"], 3))
 
 
+def grid_candidates(spark, d) -> DataFrame:
+    """Candidates with probabilities that thresholds tell apart and paths that stops and targets do."""
+    x = all_candidates(spark, d)
+    lean = F.expr("(timestamp_utc_ms div 3600000 % 20) / 100.0")
+    gross, wide = F.col("gross_bps") * F.col("side"), F.expr("40.0 + timestamp_utc_ms div 3600000 % 140")
+    return x.select("series_id", "timestamp_utc_ms", "entry_ts", "exit_ts", F.when(F.col("side") == 1, 0.5 + lean).otherwise(0.5 - lean).alias("proba"), (gross / 100).alias("gross_bps"), wide.alias("best_bps"), (F.lit(110.0) - wide).alias("worst_bps"), F.lit(2.0).alias("fixed_cost_bps"), F.lit(1.0).alias("funding_bps"), (F.col("close") * F.col("volume")).alias("quote_volume"))
+
+
 def grid(spark, d):
-    """Metrics of every parameter pair: configurations times candidates, one simulation a pair and series."""
-    c = F.explode(F.array(*(F.struct(F.lit(f"f{f}_h{h}").alias("config"), F.lit(f).alias("_f")) for f in (1, 2) for h in (0, 1))))
-    x = _trades(spark, d).withColumn("_c", c).select("*", "_c.*")
-    t = portfolio.simulate(x, ["config", "series_id"])
-    return _r(portfolio.metrics(portfolio.equity_curve(t, ["config", "series_id"]), ["config", "series_id"]))
+    """A search over the default grid: what each configuration makes of each series, by rank of its score."""
+    done = backtest.search(grid_candidates(spark, d), ["series_id"], backtest.grid()).where("outcome = 'TRADE'")
+    out = backtest.performance(done, ["config", "series_id"])
+    return _r(backtest.ranked(out, "config"), 4)
 
 
 def top_trades(spark, d):
@@ -171,7 +179,8 @@ def experiment_registry(spark, d):
     e = b.select("series_id").distinct().withColumn("experiment_id", F.concat(F.lit("exp_"), F.col("series_id")))
     m = portfolio.metrics(portfolio.equity_curve(all_candidates(spark, d).where(F.col("series_id") != "view"), ["series_id"], 0.001), ["series_id"]).select(F.concat(F.lit("exp_"), F.col("series_id")).alias("experiment_id"), "trades")
     s = b.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"))
-    return registry.registry(e, m, s)
+    out = registry.registry(e, m, s).withColumns({"ml_gate": F.when(F.col("series_id") == "click", "ML_BLOCKED").otherwise("ML_READY"), "walk_forward_status": F.lit("OK"), "backtest_status": F.when(F.col("trades").isNull(), "MISSING").otherwise("OK"), "validation_status": F.lit(None).cast("string"), "stress_status": F.lit("OK")})
+    return out.withColumn("status", registry.review_status()).select("series_id", "experiment_id", "trades", "rows", "status", "registry_hash")
 
 
 def barrier_vol(spark, d):
@@ -194,7 +203,8 @@ cand AS (SELECT series_id, timestamp_utc_ms, CASE WHEN r5 < 0 THEN 1 ELSE -1 END
 t AS (SELECT *, (exit_price / entry_price - 1) * 1e4 * side AS gross, (exit_price / entry_price - 1) * 1e4 * side - 32.0 AS net_bps FROM cand)"""
     eq = f"""{cand}, e AS (SELECT *, exp(sum(ln(1 + greatest(-0.99, net_bps / 1e4 * 0.001))) OVER (PARTITION BY series_id ORDER BY exit_ts, entry_ts ROWS UNBOUNDED PRECEDING)) AS equity, row_number() OVER (PARTITION BY series_id ORDER BY exit_ts, entry_ts) AS n FROM t),
 f AS (SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY series_id ORDER BY n ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown, sum(CASE WHEN net_bps > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS wins FROM e)"""
-    scen = ", ".join(f"('{n}', {f}, {s}, {u}, {x})" for n, f, s, u, x in portfolio.SCENARIOS)
+    scen = ", ".join(f"('{n}', {', '.join(map(str, v))})" for n, *v in portfolio.SCENARIOS)
+    run = "(PARTITION BY series_id, scenario ORDER BY exit_ts, entry_ts ROWS UNBOUNDED PRECEDING)"
     d = f"timestamp_utc_ms - lag(timestamp_utc_ms) OVER {w}"
     lab = lambda t: o.net_label(3, t)
     g5 = f"({o.div(o.lead('close', 5), 'close')} - 1)"
@@ -219,15 +229,19 @@ SELECT series_id, path, 'ohlcv' AS kind, asset || 'USDT' AS symbol, asset, timef
         "linspace": f"WITH {b}, x AS (SELECT *, row_number() OVER {w} - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM bars) SELECT series_id, timestamp_utc_ms, round(close, 6) AS close FROM x WHERE i IN (SELECT j * (x.n - 1) // 10 FROM range(11) g(j))",
         "dataset_rows": f"""WITH {b}, x AS (SELECT *, ln(close) AS lc, ln(close) - lag(ln(close)) OVER {w} AS r FROM bars), y AS (SELECT *, lc - lag(lc, 5) OVER {w} AS r5, {o.roll('stddev_samp', 'r', 7)} AS v, {o.net_label(5, 25)} AS l FROM x)
 SELECT y.series_id, y.timestamp_utc_ms, round(y.r, 6) + 0.0 AS feat_ret_log_1, round(y.r5, 6) + 0.0 AS feat_ret_log_5, round(y.v, 6) + 0.0 AS feat_rv_std_7, CAST(y.l AS DOUBLE) AS label_dir_h5_thr25bps, round(z.r, 6) + 0.0 AS xasset_view_feat_ret_log_1, round(z.r5, 6) + 0.0 AS xasset_view_feat_ret_log_5, CASE y.series_id WHEN 'click' THEN 12.0 ELSE 20.0 END + 0.0 AS cost_fee_bps, CASE y.series_id WHEN 'click' THEN 12.0 ELSE 15.0 END + 0.0 AS cost_slippage_bps, y.l IS NOT NULL AS is_trainable, 1.0 AS sample_weight FROM y LEFT JOIN y z ON z.series_id = 'view' AND z.timestamp_utc_ms = y.timestamp_utc_ms AND y.series_id <> 'view'""",
-        "windows": f"WITH {b}, n AS (SELECT series_id, count(*) AS n FROM bars GROUP BY 1) SELECT series_id, CAST(k AS INTEGER) AS window_id, k * 100 AS train_start, k * 100 + 300 AS train_end, least(k * 100 + 400, n) AS test_end FROM n, range(0, 100000) g(k) WHERE k * 100 + 350 <= n",
+        "windows": f"""WITH RECURSIVE {b}, n AS (SELECT series_id, count(*) AS n FROM bars GROUP BY 1),
+w AS (SELECT series_id, n, 1 AS window_id, 0 AS train_start FROM n WHERE least(400, n) - 300 >= 50 UNION ALL SELECT series_id, n, window_id + 1, train_start + 100 FROM w WHERE least(train_start + 400, n) < n AND least(train_start + 500, n) - (train_start + 400) >= 50)
+SELECT series_id, CAST(window_id AS INTEGER) AS window_id, CAST(train_start AS BIGINT) AS train_start, CAST(train_start + 300 AS BIGINT) AS train_end, CAST(least(train_start + 400, n) AS BIGINT) AS test_end FROM w""",
         "trade_candidates": f"WITH {cand} SELECT series_id, timestamp_utc_ms, side, entry_ts, exit_ts, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price FROM cand",
         "curve": f"WITH {eq} SELECT series_id, entry_ts, exit_ts, round(net_bps, 5) + 0.0 AS net_bps, round(equity, 5) + 0.0 AS equity, round(drawdown, 5) + 0.0 AS drawdown FROM f",
         "trade_metrics": f"""WITH {eq}, l AS (SELECT series_id, max(c) AS longest_loss_run FROM (SELECT series_id, wins, count(*) AS c FROM f WHERE net_bps <= 0 GROUP BY 1, 2) GROUP BY 1)
 SELECT series_id, count(*) AS trades, round(arg_max(equity, n) - 1, 4) + 0.0 AS total_return, round(min(drawdown), 4) + 0.0 AS max_drawdown, round(avg(CASE WHEN net_bps > 0 THEN 1 ELSE 0 END), 4) AS win_rate, round(sum(CASE WHEN net_bps > 0 THEN net_bps END) / -sum(CASE WHEN net_bps <= 0 THEN net_bps END), 4) AS profit_factor, round(avg(net_bps), 4) + 0.0 AS mean_net_bps, any_value(longest_loss_run) AS longest_loss_run FROM f LEFT JOIN l USING (series_id) GROUP BY series_id""",
-        "stressed": f"WITH {cand}, s(scenario, f, s, u, x) AS (VALUES {scen}), y AS (SELECT series_id, scenario, gross - 20.0 * f - 10.0 * s - 2.0 * u - x AS net FROM t, s) SELECT series_id, scenario, count(*) AS trades, round(sum(net), 3) + 0.0 AS net_bps_sum, round(avg(CASE WHEN net > 0 THEN 1 ELSE 0 END), 3) AS win_rate FROM y GROUP BY 1, 2",
+        "stressed": f"""WITH {cand}, s(scenario, f, s, m, u, x) AS (VALUES {scen}), y AS (SELECT series_id, scenario, entry_ts, exit_ts, gross - 20.0 * f - 10.0 * s - 4.0 * m - 2.0 * u - x AS net FROM t, s),
+z AS (SELECT *, 10000.0 + sum(10.0 * net / 1e4) OVER {run} AS eq FROM y), q AS (SELECT *, eq / greatest(10000.0, max(eq) OVER {run}) - 1 AS dd FROM z)
+SELECT series_id, scenario, count(*) AS trades, round(sum(net), 3) + 0.0 AS net_bps_sum, round(avg(CASE WHEN net > 0 THEN 1 ELSE 0 END), 3) AS win_rate, round(arg_max(eq, (exit_ts, entry_ts)) / 10000.0 - 1, 3) + 0.0 AS total_return, round(min(dd), 3) + 0.0 AS max_drawdown FROM q GROUP BY 1, 2""",
         "top_trades": f"WITH {cand} SELECT series_id, timestamp_utc_ms, round(net_bps, 4) AS net_bps FROM t ORDER BY t.net_bps DESC, series_id, timestamp_utc_ms LIMIT 10",
         "ranks": f"WITH {b}, x AS (SELECT *, {g5} AS g FROM bars) SELECT series_id, timestamp_utc_ms, CASE WHEN g IS NOT NULL THEN round(percent_rank() OVER (PARTITION BY timestamp_utc_ms ORDER BY g NULLS FIRST), 6) + 0.0 END AS label_fwd_ret_gross_long_h5_rank FROM x",
-        "experiment_registry": f"WITH {cand}, m AS (SELECT series_id, count(*) AS trades FROM t WHERE series_id <> 'view' GROUP BY 1), n AS (SELECT series_id, count(*) AS rows FROM bars GROUP BY 1) SELECT series_id, 'exp_' || series_id AS experiment_id, trades, rows, CASE WHEN trades IS NULL THEN 'NO_BACKTEST' WHEN trades < 30 THEN 'FEW_TRADES' ELSE 'OK' END AS status, substr(sha256('exp_' || series_id || '|' || series_id), 1, 16) AS registry_hash FROM n LEFT JOIN m USING (series_id)",
+        "experiment_registry": f"WITH {cand}, m AS (SELECT series_id, count(*) AS trades FROM t WHERE series_id <> 'view' GROUP BY 1), n AS (SELECT series_id, count(*) AS rows FROM bars GROUP BY 1) SELECT series_id, 'exp_' || series_id AS experiment_id, trades, rows, CASE WHEN series_id = 'click' THEN 'BLOCKED_DATA_QUALITY' WHEN trades IS NULL THEN 'NEEDS_BACKTEST_REVIEW' ELSE 'RESEARCH_REGISTERED' END AS status, substr(sha256('exp_' || series_id || '|' || series_id), 1, 16) AS registry_hash FROM n LEFT JOIN m USING (series_id)",
     }
     atr = o.div(o.roll("avg", "tr", 14), "close")
     out["barrier_vol"] = f"SELECT series_id, side, event, count(*) AS n, CAST(sum(holding_bars) AS BIGINT) AS bars FROM ({o.barrier_sql(labels.barrier_grid('atr', (1.0,), (1.5,), (8,)), atr)}) GROUP BY 1, 2, 3"

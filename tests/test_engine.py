@@ -68,7 +68,7 @@ def test_simulation_never_overlaps_and_base_stress_replays(spark, sinus):
     t = portfolio.simulate(portfolio.candidates(sinus, signal, 3), ["series_id"]).cache()
     rows = t.orderBy("entry_ts").collect()
     assert all(b.entry_ts > a.exit_ts for a, b in zip(rows, rows[1:]))
-    base = portfolio.stress(t, ["series_id"]).where("scenario = 'BASE_REPLAY'").first()
+    base = portfolio.stress(t.withColumns({"spread_impact_bps": F.lit(0.0), "notional": F.lit(100.0)}), ["series_id"]).where("scenario = 'BASE_REPLAY'").first()
     assert base.net_bps_sum == pytest.approx(sum(r.net_bps for r in rows))
     assert portfolio.admit(t.withColumn("run", F.lit(1)), ["run"]).count() == len(rows)
 

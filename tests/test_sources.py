@@ -107,8 +107,9 @@ def test_grid_and_choice():
 def test_all_kinds_of_barriers(spark):
     b = spark.range(200).select(F.lit("s").alias("series_id"), (F.col("id") * 3_600_000).alias("timestamp_utc_ms"), (100 + F.sin(F.col("id"))).alias("close")).withColumns({"open": F.col("close"), "high": F.col("close") * 1.01, "low": F.col("close") * 0.99})
     g = [c for c in labels.full_grid() if c["config_id"] in ("w20_vol_sl1.0_tp1.0_h8", "w14_atr_sl1.0_tp1.0_h8", "fixed_sl50_tp100_h5")]
-    n = {r.config_id: r["count"] for r in labels.all_barriers(b, g).groupBy("config_id").count().collect()}
-    assert set(n) == {c["config_id"] for c in g} and n["fixed_sl50_tp100_h5"] == 400 and n["w20_vol_sl1.0_tp1.0_h8"] == 2 * 180
+    rows = labels.all_barriers(b, g)
+    n = {r.config_id: (r["rows"], r["labelled"]) for r in rows.groupBy("config_id").agg(F.count(F.lit(1)).alias("rows"), F.count("label").alias("labelled")).collect()}
+    assert n == {"fixed_sl50_tp100_h5": (400, 398), "w20_vol_sl1.0_tp1.0_h8": (400, 2 * 179), "w14_atr_sl1.0_tp1.0_h8": (400, 2 * 186)}
 
 
 def test_checks_find_what_is_wrong(spark):
