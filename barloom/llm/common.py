@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles, and the checkpoints where it may, of tables that are gone.
+
+    It does so when the driver collects its garbage, by itself every half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the shared folder, for tables that are read again."""
     return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"

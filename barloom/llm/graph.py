@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,6 +29,8 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small)
+        del small
+        release(edges.sparkSession)
         now = _state(edges)
         if now == state:
             break

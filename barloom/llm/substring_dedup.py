@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, cut, mix64, own_column, raw_texts, slices, word_hashes
+from .common import by_place, cut, mix64, own_column, raw_texts, release, slices, word_hashes
 
 SHINGLE = 5
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917)]
@@ -460,6 +460,7 @@ def _found(numbered: DataFrame, words: int, similarity: float, hashes: int, need
     whole = _copies(numbered, words)
     pairs = cut(met.where((F.bit_count("k") >= need) | (F.col("alike") > 0)).select("doc", "src", "seeds").join(whole.select("doc"), "doc", "left_anti"))
     out, (texts, _) = None, _texts_of(pairs, numbered)
+    release(numbered.sparkSession)  # the windows
     while True:
         done = cut(_verify(pairs, texts, width, similarity))
         passages = done.where("similarity is not null")
@@ -470,6 +471,7 @@ def _found(numbered: DataFrame, words: int, similarity: float, hashes: int, need
         if not rows:
             return out.distinct()
         texts = cut(texts.coalesce(rows // 1000 + 1))
+        release(numbered.sparkSession)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, similarity: float = 0.8, hashes: int = 4, need: int = 2) -> DataFrame:
