@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """One document of each group of near-duplicates: SimHashes of five-word shingles in BK-trees, Jaccard 0.8 or more."""
     return near_copies.one_of_each(docs)
 
 

@@ -1,9 +1,14 @@
 """What the first review found left out."""
 
 import random
+import time
+
+import numpy as np
 
 import corpus_pipeline
 from barloom.llm import decontamination, near_copies, simhash
+from barloom.llm.common import mix64
+from barloom.llm.graph import connected_components
 
 DATA = "/root/testdata/sf0.01"
 
@@ -59,6 +64,65 @@ def test_near_copies_match_brute_force(spark):
     assert got == want and sum(k != v for k, v in want.items()) > 20
 
 
+def test_fingerprints_match_their_definition():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 2**63, k, dtype=np.uint64)) for k in (1, 2, 5, 84, 85, 86, 171)]
+    for s, row in zip(sets, near_copies.fingerprints_of(sets, 2).tolist(), strict=True):
+        for w, got in enumerate(row):
+            high = mix64(s ^ np.uint64((w + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1))
+            low = mix64(high + np.uint64(0xD1B54A32D192ED03))
+            want = sum((sum(4 * (int(a) >> k & 1) + 2 * (int(b) >> k & 1) - 3 for a, b in zip(high, low, strict=True)) > 0) << k for k in range(64))
+            assert got == want
+
+
+def test_clusters_of_a_bk_tree_match_brute_force():
+    r = random.Random(2)
+    for _ in range(40):
+        values = []
+        for _ in range(r.randint(1, 6)):
+            base = r.getrandbits(128)
+            for _ in range(r.randint(1, 25)):
+                v = base
+                for _ in range(r.randint(0, 40)):
+                    v ^= 1 << r.randrange(128)
+                values.append(v)
+                base = v if r.random() < 0.2 else base
+        r.shuffle(values)
+        first = list(range(len(values)))
+        for i, x in enumerate(values):
+            for j in range(i):
+                if (x ^ values[j]).bit_count() <= 33 and first[i] != first[j]:
+                    low, high = sorted((first[i], first[j]))
+                    first = [low if f == high else f for f in first]
+        assert near_copies.clusters(values, 33) == first
+
+
+def test_fingerprints_find_pairs_at_the_threshold(spark):
+    r = np.random.default_rng(3)
+    bits, n, radius = near_copies.plan_of(1000, 0.8)
+    sets = []
+    for k in range(300):  # 8 of 8 and 10, 72 of 81 and 81, 320 of 320 and 400
+        a, b, c = ((8, 10, 8), (81, 81, 72), (320, 400, 320))[k % 3]
+        both = r.integers(0, 2**63, a + b - c, dtype=np.uint64)
+        sets += [both[:a], both[a - c :]]
+    prints = near_copies.fingerprints_of(sets, n).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(k, len(s), w) for k, (s, w) in enumerate(zip(sets, prints, strict=True))], "node long, size long, words array<long>")
+    found = {(r.low, r.node) for r in near_copies._clustered(nodes, bits, n, radius).collect()}
+    assert sum((k, k + 1) in found for k in range(0, 600, 2)) >= 298
+    assert all(b - a < 2 and a % 2 == 0 for a, b in found)  # sets without common tokens don't meet
+
+
+def test_rounds_of_components_leave_no_shuffles(spark):
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    order = random.Random(4).sample(range(400), 400)
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    before = held.size()
+    roots = connected_components(links, "a", "b")
+    time.sleep(2)
+    assert held.size() - before < 12
+    assert {r.root for r in roots.collect()} == {0} and roots.count() == 400
+
+
 def test_chains_and_bridges_of_near_copies(spark):
     w, texts = words(400, 3).split(), []
     for step in range(8):  # each is near to the one before only
